@@ -14,7 +14,7 @@ from firstdue.functions.nulls import if_else, paste
 def trim_ws(c: Column | str) -> Column:
     """Strip blanks, tabs and line ends from both sides."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(F.regexp_replace(c, r"^[ \t\r\n]+", ""), r"[ \t\r\n]+$", "")
+    return F.btrim(c, F.lit(" \t\r\n"))
 
 
 def replace_all(c: Column, rules: list[tuple[str, str]]) -> Column:

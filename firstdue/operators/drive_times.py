@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from firstdue.constants import STATIONS
 from firstdue.functions.nulls import paste
 from firstdue.functions.text import compact
+from firstdue.operators.joins import lookup_join
 
 # Fields read from the answer of a distance service; values are seconds.
 ANSWER_SCHEMA = (
@@ -92,4 +93,5 @@ def attach_drive_times(
     traffic: bool = False,
 ) -> DataFrame:
     """Rows whose address has drive times, with all stations' minutes."""
-    return rows.join(drive_time_matrix(times, key, stations, traffic), key)
+    matrix = drive_time_matrix(times, key, stations, traffic)
+    return lookup_join(rows, matrix, key, "inner")

@@ -12,6 +12,7 @@ from firstdue.functions.labels import not_fallback_point
 from firstdue.functions.nulls import paste
 from firstdue.functions.text import expand_state, in_town, street, strip_lead
 from firstdue.operators.indicators import count_by
+from firstdue.operators.joins import lookup_join
 
 
 def normalize_address(
@@ -42,7 +43,7 @@ def geocode(
     not found keep missing coordinates.
     """
     found = count_by(records, address).join(gazetteer, address, "left")
-    return records.join(found, address)
+    return lookup_join(records, found, address, "inner")
 
 
 def unmatched_addresses(

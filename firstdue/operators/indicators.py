@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firstdue.functions.nulls import is_in, percent_change
+from firstdue.functions.nulls import percent_change
 from firstdue.operators.quantiles import group_quantiles
 
 
@@ -18,9 +18,9 @@ def critical_first_responses(
     below_minutes: float | None = None,
 ) -> DataFrame:
     """Responses of first units to critical calls."""
-    rows = responses.filter(is_in("nature", natures) & (F.col("is_first") == 1))
+    rows = responses.filter(F.col("nature").isin(list(natures)) & (F.col("is_first") == 1))
     if units is not None:
-        rows = rows.filter(is_in("unit", units))
+        rows = rows.filter(F.col("unit").isin(list(units)))
     if below_minutes is not None:
         rows = rows.filter(F.col("first_resp") < below_minutes)
     return rows

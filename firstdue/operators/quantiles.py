@@ -6,8 +6,8 @@ of rows. Beyond a checked input size the quantile is found by narrowing instead:
 
 1. count rows per (group, coarse bucket); a running sum over the at most few
    thousand buckets of a group tells which bucket holds the wanted rank;
-2. count rows per (group, value) inside those buckets only, and narrow once more
-   to fine buckets (2**19 per coarse one);
+2. read the rows again, keep those in one of these buckets, count them per
+   (group, value) and narrow once more to fine buckets (2**19 per coarse one);
 3. rank the values left over and interpolate.
 
 Every step is a hash aggregate with map-side combine, nothing is sampled, and
@@ -152,12 +152,15 @@ def _narrow(
         *keys, "__coarse", "__n", "__missing", F.col("__before").alias("__base")
     )
 
-    # Step 2: values inside these buckets, counted; then the fine bucket.
-    values = (
-        _join_on(rows.filter(F.col("__coarse").isNotNull()), hit, [*keys, "__coarse"])
-        .groupBy(*keys, "__coarse", "__x", "__n", "__missing", "__base")
-        .agg(F.sum("__w").alias("__c"))
-        .withColumn("__fine", _bucket(F.col("__x"), FINE_PER_OCTAVE))
+    # Step 2: values inside these buckets, counted; then the fine bucket. The
+    # broadcast set of bucket numbers cannot exceed the buckets a double has
+    # (about half a million), however many rows and groups there are.
+    inside = rows.join(
+        F.broadcast(hit.select("__coarse").distinct()), "__coarse", "left_semi"
+    )
+    counted = inside.groupBy(*keys, "__coarse", "__x").agg(F.sum("__w").alias("__c"))
+    values = _join_on(counted, hit, [*keys, "__coarse"]).withColumn(
+        "__fine", _bucket(F.col("__x"), FINE_PER_OCTAVE)
     )
     fine = values.groupBy(*keys, "__coarse", "__fine", "__n", "__base").agg(
         F.sum("__c").alias("__c")

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 
 from firstdue.functions.nulls import paste
 from firstdue.functions.text import trim_ws
+from firstdue.operators.joins import lookup_join
 
 
 def first_arrivals(
@@ -43,7 +44,7 @@ def with_first_arrival(
     takes the incident as it is. Only text can carry blanks: other incident
     keys settle the flag on the joined row, text keys need a second look-up.
     """
-    joined = activity.join(first, incident, "left")
+    joined = lookup_join(activity, first, incident)
     trimmed_unit = trim_ws(F.col(unit).cast("string"))
     if not isinstance(activity.schema[incident].dataType, StringType):
         same = trimmed_unit == trim_ws(F.col("first_unit").cast("string"))
@@ -52,9 +53,9 @@ def with_first_arrival(
         paste(trim_ws(incident), trim_ws("first_unit")).alias("__pair"),
         F.lit(True).alias("__found"),
     ).dropDuplicates(["__pair"])
+    paired = joined.withColumn("__pair", paste(trim_ws(incident), trimmed_unit))
     return (
-        joined.withColumn("__pair", paste(trim_ws(incident), trimmed_unit))
-        .join(pairs, "__pair", "left")
+        lookup_join(paired, pairs, "__pair")
         .withColumn("is_first", F.when(F.col("__found"), 1).otherwise(0))
         .drop("__pair", "__found")
     )

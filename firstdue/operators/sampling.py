@@ -35,7 +35,7 @@ def seeded_sample(
     return rows.select(F.inline(checked))
 
 
-def with_row_number(df: DataFrame, key: str, name: str, pieces: int = 256) -> DataFrame:
+def with_row_number(df: DataFrame, key: str, name: str, pieces: int = 64) -> DataFrame:
     """Number the rows 1, 2, … in order of a distinct ``key``.
 
     One window over everything would sort the table in one task. Instead
@@ -45,7 +45,6 @@ def with_row_number(df: DataFrame, key: str, name: str, pieces: int = 256) -> Da
     """
     cuts = (
         df.select(key)
-        .filter(F.col(key).isNotNull())
         .orderBy(F.xxhash64(key), key)
         .limit(pieces)
         .agg(F.array_sort(F.collect_list(key)).alias("cuts"))
@@ -56,15 +55,16 @@ def with_row_number(df: DataFrame, key: str, name: str, pieces: int = 256) -> Da
         F.col(key).isNotNull(), F.size(F.filter("__cuts", lambda c: c <= F.col(key)))
     ).otherwise(pieces + 1)
     placed = placed.withColumn("__piece", piece).drop("__cuts")
+    # At most pieces + 2 sizes: they come back as one small map, not by a join.
     sizes = placed.groupBy("__piece").agg(F.count(F.lit(1)).alias("__size"))
     before = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "__piece", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before")
-    )
+    starts = sizes.select(
+        F.struct("__piece", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+        .alias("__entry")
+    ).agg(F.map_from_entries(F.collect_list("__entry")))
     within = F.row_number().over(Window.partitionBy("__piece").orderBy(key))
     return (
-        placed.withColumn("__within", within)
-        .join(offsets, "__piece")
-        .withColumn(name, F.col("__before") + F.col("__within"))
-        .drop("__piece", "__within", "__before")
+        placed.withColumns({"__within": within, "__starts": starts.scalar()})
+        .withColumn(name, F.element_at("__starts", F.col("__piece")) + F.col("__within"))
+        .drop("__piece", "__within", "__starts")
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from firstdue.constants import CELL_DEGREES
 from firstdue.functions.labels import bad_geocode
-from firstdue.functions.nulls import is_in
 from firstdue.operators.quantiles import group_quantiles
 
 
@@ -22,7 +21,7 @@ def mappable(
 ) -> DataFrame:
     """Responses to critical calls at a well placed address."""
     good = bad_geocode(F.col("full_address"), F.col("lat"), F.col("lon"), bad_addresses) == 0
-    rows = responses.filter(is_in("nature", natures) & good & F.col("lon").isNotNull())
+    rows = responses.filter(F.col("nature").isin(natures) & good & F.col("lon").isNotNull())
     if first_only:
         rows = rows.filter(F.col("is_first") == 1)
     if over_minutes is not None:

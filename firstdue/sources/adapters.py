@@ -51,7 +51,7 @@ def activity(spark: SparkSession, folder: str) -> DataFrame:
         *_arrival_columns(),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
         F.col("o_orderpriority").alias("nature"),
-        F.date_format("o_orderdate", "yyyy").alias("year"),
+        F.year("o_orderdate").cast("string").alias("year"),
         F.to_date("o_orderdate").alias("date_short"),
         F.col("o_custkey").alias("addr_id"),
     )
