@@ -97,16 +97,25 @@ def auto_histogram(df: DataFrame, value: str) -> DataFrame:
     rows = df.filter(x.isNotNull()).select(x.alias("x"), breaks.scalar().alias("rule"))
     unit, first = F.col("rule.unit"), F.col("rule.first")
     number = F.greatest(F.ceil(F.col("x") / unit) - first, F.lit(1)).cast("long")
-    counted = rows.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    classes = breaks.select(
-        F.explode(F.sequence(F.lit(1), (F.col("rule.last") - first).cast("long"))).alias("bin"),
+    counted = rows.groupBy(number.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.any_value("rule").alias("rule")
+    )
+    # About log2(n) classes: as one map, to fill in the empty ones.
+    counts = counted.agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"),
+        F.any_value("rule").alias("rule"),
+    )
+    classes = counts.select(
+        F.explode(F.sequence(F.lit(1).cast("long"), (F.col("rule.last") - first).cast("long")))
+        .alias("bin"),
+        "counts",
         "rule",
     )
-    return classes.join(counted, "bin", "left").select(
-        F.col("bin").cast("long").alias("bin"),
+    return classes.select(
+        "bin",
         ((first + F.col("bin") - 1) * unit).alias("lower"),
         ((first + F.col("bin")) * unit).alias("upper"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce(F.try_element_at("counts", F.col("bin")), F.lit(0)).alias("n"),
     )
 
 

@@ -28,6 +28,7 @@ SINGLE_PASS_BYTES = 64 * 1024 * 1024
 COARSE_PER_OCTAVE = 2**7
 FINE_PER_OCTAVE = 2**26
 LOWEST_EXPONENT = -1074  # of a double
+HIGHEST_EXPONENT = 1024  # taken by infinity alone
 
 
 def scan_bytes(df: DataFrame) -> int:
@@ -89,7 +90,7 @@ def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def _bucket(x: Column, per_octave: int) -> Column:
     """Bucket number that never falls as ``x`` grows."""
     size = F.abs(x)
-    exponent = F.floor(F.log2(size))
+    exponent = F.least(F.floor(F.log2(size)), F.lit(HIGHEST_EXPONENT))
     step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * per_octave)
     step = F.least(F.greatest(step, F.lit(0)), F.lit(per_octave - 1))
     number = (exponent - LOWEST_EXPONENT) * per_octave + step + 1
@@ -205,7 +206,8 @@ def _narrow(
     for i, (name, p) in enumerate(quantiles.items()):
         share = position(p) - F.floor(position(p))
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        result = (1 - share) * lo + share * hi
+        between = (1 - share) * lo + share * hi
+        result = F.when((share == 0) | (lo == hi), lo).otherwise(between)
         if na == "propagate":
             result = F.when(F.col("__missing") == 0, result)
         columns.append(result.alias(name))

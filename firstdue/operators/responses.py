@@ -36,15 +36,21 @@ def first_arrivals(
 
 
 def with_first_arrival(
-    activity: DataFrame, first: DataFrame, incident: str = "incident_id", unit: str = "unit"
+    activity: DataFrame,
+    first: DataFrame,
+    incident: str = "incident_id",
+    unit: str = "unit",
+    locations: DataFrame | None = None,
 ) -> DataFrame:
     """Left join the first arrival and flag the responses of that unit.
 
-    The flag compares incident and unit without surrounding blanks, the join
+    ``locations`` with the same key come along in the same join, so that the
+    many activity rows are shuffled once. The flag compares incident and unit without surrounding blanks, the join
     takes the incident as it is. Only text can carry blanks: other incident
     keys settle the flag on the joined row, text keys need a second look-up.
     """
-    joined = lookup_join(activity, first, incident)
+    known = first if locations is None else first.join(locations, incident, "full")
+    joined = lookup_join(activity, known, incident)
     trimmed_unit = trim_ws(F.col(unit).cast("string"))
     if not isinstance(activity.schema[incident].dataType, StringType):
         same = trimmed_unit == trim_ws(F.col("first_unit").cast("string"))
@@ -77,6 +83,8 @@ def build_responses(
     is below its threshold and otherwise splits hot keys of the shuffled join.
     """
     first = first_arrivals(arrivals, incident, unit, minutes, tie_break)
+    if location_key == incident:
+        return with_first_arrival(activity, first, incident, unit, locations)
     return with_first_arrival(activity, first, incident, unit).join(
         locations, location_key, "left"
     )

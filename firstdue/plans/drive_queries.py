@@ -149,10 +149,12 @@ COMPARED = ["actual", "predicted", "diff", "ratio"]
 COMPARED_SQL = ", ".join(f"{r(c)} as {c}" for c in COMPARED)
 
 
-def calibrated(spark, folder):
+def calibrated(spark, folder, suffix=""):
     """Rows with scaled times, scenario times, differences and residual."""
-    rows = calibration.calibrate(A.timed_responses(spark, folder))
-    rows = scenarios.with_station_differences(scenarios.with_scenario_times(rows))
+    rows = A.timed_responses(spark, folder, traffic=bool(suffix))
+    rows = calibration.calibrate(rows, suffix=suffix)
+    rows = scenarios.with_scenario_times(rows, suffix)
+    rows = scenarios.with_station_differences(rows, suffix)
     return scenarios.with_calibrated_residual(rows)
 
 
@@ -319,6 +321,21 @@ def _(spark, folder):
     return rounded(rows, *DIFFERENCES)
 
 
+@register(
+    "scenario_best_time_traffic",
+    sql(
+        f"select {KEY}, "
+        + ", ".join(f"{r(c)} as {c}" for c in [*SCENARIOS, *DIFFERENCES, "residual"])
+        + " from cal",
+        *CAL_TRAFFIC,
+    ),
+)
+def _(spark, folder):
+    names = [*SCENARIOS, *DIFFERENCES, "residual"]
+    rows = calibrated(spark, folder, "_in_traffic")
+    return rounded(rows.select(*A.RESPONSE_KEY, *names), *names)
+
+
 def _nearest_sql(name: str, suffix: str = "") -> str:
     columns = [f"from_{s}{suffix}" for s in SCENARIOS[name]]
     low, high = f"least({', '.join(columns)})", f"greatest({', '.join(columns)})"
@@ -396,13 +413,13 @@ def _band(value: str) -> str:
     )
 
 
-def _address_sql(values, shown: str, where: str = "true", source: str = "cal") -> str:
+def _address_sql(values, shown: str, where="true", source="cal", views=CAL) -> str:
     means = ", ".join(f"avg({v}) as {v}" for v in values)
     return sql(
         f"select addr_id, n, {POINT_COLUMNS}, {shown} from (select addr_id, full_address, "
         f"count(*) as n, {means}, {POINT} from {source} where {where} "
         "group by addr_id, full_address)",
-        *CAL,
+        *views,
     )
 
 
@@ -418,6 +435,15 @@ def _(spark, folder):
     return _shown(feeds.address_means(calibrated(spark, folder), list(SCENARIOS)), *SCENARIOS)
 
 
+@register(
+    "address_scenario_mean_traffic",
+    _address_sql(SCENARIOS, ", ".join(f"{r(s)} as {s}" for s in SCENARIOS), views=CAL_TRAFFIC),
+)
+def _(spark, folder):
+    rows = calibrated(spark, folder, "_in_traffic")
+    return _shown(feeds.address_means(rows, list(SCENARIOS)), *SCENARIOS)
+
+
 @register(
     "minutes_band",
     _address_sql(["JW_and_Lowell"], f"{_band('JW_and_Lowell')} as band"),

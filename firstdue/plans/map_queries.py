@@ -171,6 +171,28 @@ def _(spark, folder):
     return _shown(density.density_grid(calls, NODES, "year"))
 
 
+CALLS = "select min(lon) as lon, min(lat) as lat from mapped group by incident_id"
+OVER5_BY_YEAR = (
+    "select min(year) as year, min(lon) as lon, min(lat) as lat from mapped "
+    "where year <> '1995' and is_first = 1 and first_resp > 5 group by incident_id"
+)
+
+
+@register("density_calls", sql(f"select {SHOWN} from dens", *_density_views(CALLS, False)))
+def _(spark, folder):
+    calls = spatial.incident_points(_mapped(spark, folder))
+    return _shown(density.density_grid(calls, NODES))
+
+
+@register(
+    "density_over5_by_year",
+    sql(f"select year, {SHOWN} from dens", *_density_views(OVER5_BY_YEAR, True)),
+)
+def _(spark, folder):
+    rows = _mapped(spark, folder, first_only=True, over_minutes=5, without_year="1995")
+    return _shown(density.density_grid(spatial.incident_points(rows), NODES, "year"))
+
+
 @register(
     "density_bands",
     sql(
