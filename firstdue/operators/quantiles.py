@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from firstdue.functions.nulls import na_policy
 
-SINGLE_PASS_BYTES = 64 * 1024 * 1024
+SINGLE_PASS_BYTES = 32 * 1024 * 1024
 COARSE_PER_OCTAVE = 2**7
 FINE_PER_OCTAVE = 2**26
 LOWEST_EXPONENT = -1074  # of a double

@@ -9,6 +9,7 @@ from firstdue.operators import calibration, distributions, drive_times, scenario
 from firstdue.operators.significance import with_fit_p_values
 from firstdue.plans import feeds
 from firstdue.plans.checks import r, register, rounded, sql
+from firstdue.plans.siting import nearest_station_table, siting_table
 from firstdue.session import work_dir
 from firstdue.sources import adapters as A
 from firstdue.sources.files import save_drive_times
@@ -151,11 +152,18 @@ COMPARED_SQL = ", ".join(f"{r(c)} as {c}" for c in COMPARED)
 
 def calibrated(spark, folder, suffix=""):
     """Rows with scaled times, scenario times, differences and residual."""
-    rows = A.timed_responses(spark, folder, traffic=bool(suffix))
-    rows = calibration.calibrate(rows, suffix=suffix)
-    rows = scenarios.with_scenario_times(rows, suffix)
-    rows = scenarios.with_station_differences(rows, suffix)
-    return scenarios.with_calibrated_residual(rows)
+    return siting_table(
+        A.first_responses(spark, folder), A.drive_times(spark, folder), "addr_id", A.STATIONS,
+        suffix,
+    )
+
+
+def nearest(spark, folder, suffix=""):
+    """Rows with their nearest station."""
+    return nearest_station_table(
+        A.first_responses(spark, folder), A.drive_times(spark, folder), "addr_id", A.STATIONS,
+        suffix,
+    )
 
 
 @register("actual_vs_predicted", sql(f"select {KEY}, {COMPARED_SQL} from avp", *CAL))
@@ -195,8 +203,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = calibration.calibrate(A.timed_responses(spark, folder))
-    return rounded(rows.select(*A.RESPONSE_KEY, *SCALED), *SCALED)
+    return rounded(calibrated(spark, folder).select(*A.RESPONSE_KEY, *SCALED), *SCALED)
 
 
 RESIDUAL = ["actual", "predicted", "diff", "ratio", "residual"]
@@ -354,10 +361,7 @@ NEAREST_SQL = ", ".join(_nearest_sql(n) for n in NEAREST)
     sql(f"select {KEY}, {r('lon')} as lon, {r('lat')} as lat, {NEAREST_SQL} from fdg"),
 )
 def _(spark, folder):
-    rows = scenarios.with_nearest_stations(A.timed_responses(spark, folder))
-    points = rows.select(
-        *A.RESPONSE_KEY, "lon", "lat", *[f"station_{s}" for s in NEAREST]
-    )
+    points = feeds.nearest_map(nearest(spark, folder), NEAREST, A.RESPONSE_KEY)
     return rounded(points, "lon", "lat")
 
 
@@ -370,9 +374,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = scenarios.with_nearest_stations(
-        A.timed_responses(spark, folder, traffic=True), "_in_traffic"
-    )
+    rows = nearest(spark, folder, "_in_traffic")
     return rows.select(*A.RESPONSE_KEY, *[f"station_{s}" for s in NEAREST])
 
 
@@ -391,8 +393,8 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = scenarios.with_nearest_stations(A.timed_responses(spark, folder))
-    return rounded(scenarios.nearest_station_share(rows, NEAREST), "share")
+    share = scenarios.nearest_station_share(nearest(spark, folder), NEAREST)
+    return rounded(share, "share")
 
 
 # Per-address feeds --------------------------------------------------------------

@@ -69,6 +69,8 @@ def raw_time_map(rows: DataFrame, column: str, unit: str, **grouping) -> DataFra
     )
 
 
-def nearest_map(rows: DataFrame, scenarios: Sequence[str]) -> DataFrame:
+def nearest_map(
+    rows: DataFrame, scenarios: Sequence[str], keys: Sequence[str] = ("incident_id",)
+) -> DataFrame:
     """One point per row with its nearest station in each scenario."""
-    return rows.select("incident_id", "lon", "lat", *[f"station_{s}" for s in scenarios])
+    return rows.select(*keys, "lon", "lat", *[f"station_{s}" for s in scenarios])

@@ -160,7 +160,13 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def first_responses(spark: SparkSession, folder: str) -> DataFrame:
+    return responses(spark, folder).filter(F.col("is_first") == 1)
+
+
 def timed_responses(spark: SparkSession, folder: str, traffic: bool = False) -> DataFrame:
     """First responses with the drive times of every station."""
-    first = responses(spark, folder).filter(F.col("is_first") == 1)
-    return attach_drive_times(first, drive_times(spark, folder), "addr_id", STATIONS, traffic)
+    times = drive_times(spark, folder)
+    return attach_drive_times(
+        first_responses(spark, folder), times, "addr_id", STATIONS, traffic
+    )
