@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firstdue.constants import DENSITY_BANDS
+from firstdue.operators.joins import lookup_join
 from firstdue.operators.quantiles import group_quantiles
 
 # Ship these functions with the task: executors need no copy of the package.
@@ -56,7 +57,7 @@ def bandwidths(points: DataFrame, facet: str | None = None, strategy: str = "aut
         (F.sum(c * F.col("lat")) / F.sum("c")).alias("my"),
     )
     if facet:
-        centred = points.join(means, facet)
+        centred = lookup_join(points, means, facet, "inner")
     else:
         centred = _attach(points, means)
     dx, dy = F.col("lon") - F.col("mx"), F.col("lat") - F.col("my")
@@ -136,7 +137,7 @@ def density_grid(
     widths = bandwidths(points, facet, strategy)
     usable = (F.col("sx") > 0) & (F.col("sy") > 0)  # one point has no density
     if facet:
-        placed = points.join(widths.filter(usable), facet)
+        placed = lookup_join(points, widths.filter(usable), facet, "inner")
     else:
         placed = _attach(points, widths).filter(usable)
     placed = _attach(placed, span).select(
