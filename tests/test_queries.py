@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from firstdue.plans.checks import ORACLE, QUERIES
 from firstdue.sources import adapters
 from oracle import compare, connect
 
@@ -16,10 +17,11 @@ def con(folder):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, folder, con, name):
     df = entry.queries()[name](spark, folder)
     assert compare(df, con, entry.oracle_sql()[name]) is None
