@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firstdue.llm import chat, decontamination, mixing, quality, urls
+from firstdue.llm import chat, decontamination, mixing, quality, simhash, urls
 from firstdue.llm.registry import ORACLE, QUERIES, register, table  # noqa: F401
 from firstdue.llm.text import LOWER, UPPER, blank_if_null, fenced
 
@@ -188,3 +188,10 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "rule", "kept",
     )
+
+
+@register("op10_simhash")
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    judged = simhash.near_duplicates(table(spark, folder, "documents"))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return judged.select("doc_id", digits.alias("fingerprint"), "component_id")
