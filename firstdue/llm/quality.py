@@ -226,7 +226,7 @@ def fit_rules(
     )
     part = (F.pmod(F.xxhash64(F.col("__doc"), F.lit("prune")), F.lit(4)) == 0).cast("int")
     sample = text_statistics(rows).select(*FEATURES, "__good", part.alias("__prune"))
-    return learn_rules([tuple(r) for r in sample.orderBy(*sample.columns).collect()])
+    return learn_rules(sorted(map(tuple, sample.collect())))
 
 
 def first_rule(rules: Sequence[Rule]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firstdue.llm import chat, decontamination, mixing, quality, simhash, urls
+from firstdue.llm import chat, decontamination, mixing, quality, simhash, tokens, urls
 from firstdue.llm.registry import ORACLE, QUERIES, register, table  # noqa: F401
 from firstdue.llm.text import LOWER, UPPER, blank_if_null, fenced
 
@@ -195,3 +195,14 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     judged = simhash.near_duplicates(table(spark, folder, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return judged.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+#: The tokenizer's file comes with a package that every machine has.
+TOKENIZER = "word_bpe_49k.json"
+
+
+@register("op4_token_files")
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_corpus(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
