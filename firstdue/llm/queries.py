@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firstdue.llm import chat, decontamination, mixing, quality, simhash, tokens, urls
+from firstdue.llm import chat, decontamination, mixing, quality, simhash, tokens, toxicity, urls
 from firstdue.llm.registry import ORACLE, QUERIES, register, table  # noqa: F401
 from firstdue.llm.text import LOWER, UPPER, blank_if_null, fenced
 
@@ -206,3 +206,12 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.token_corpus(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@register("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    aside = toxicity.held_out(F.col("doc_id"))
+    labels = table(spark, folder, "labels")
+    scored = toxicity.score_toxicity(documents, toxicity.fit(documents, labels.filter(~aside)))
+    return scored.select("doc_id", aside.alias("held_out"), "score", "predicted", "evidence")
