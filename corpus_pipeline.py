@@ -1,29 +1,55 @@
-"""From raw documents to token files, one operator per stage."""
+"""From raw documents to token files: five stages, one operator each.
+
+Each stage gets the documents that the one before has written, and decides on its own input:
+
+1. toxicity: documents predicted toxic go;
+2. SimHash near-dedup: one document of each group stays;
+3. benchmark decontamination: contaminated documents go;
+4. mixing sources to target weights: each source's documents as often as its target says;
+5. token-ID output: documents become token files, and the rows their index.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from firstdue.llm import decontamination, mixing
+from firstdue.llm import decontamination, mixing, simhash, tokens, toxicity
+from firstdue.llm.queries import TOKENIZER
 from firstdue.llm.registry import table
 from firstdue.llm.store import stored
 from firstdue.session import tune
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(tune(spark), sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return simhash.drop_near_duplicates(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: contaminated documents go."""
     return decontamination.drop_contaminated(docs, table(tune(spark), sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing sources to target weights: documents as often as the mix takes them."""
     tune(spark)
     return mixing.mix_documents(docs)
 
 
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return tokens.token_corpus(docs, public_tokenizers.path(TOKENIZER))
+
+
 STAGES = [
+    ("toxicity", reject_toxic),
+    ("SimHash near-dedup", drop_copies),
     ("benchmark decontamination", decontaminate),
     ("mixing sources to target weights", mix),
+    ("token-ID / binary output", write_token_files),
 ]
 
 
@@ -35,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Fingerprints, nearest neighbours and token ids have no SQL.
+#: Nearest neighbours, fingerprints and token ids have no SQL.
 ORACLE_SQL = None

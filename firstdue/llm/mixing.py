@@ -61,7 +61,7 @@ def source_targets(
     ) / F.sum("__w").over(after)
     fits = F.col("__level") * F.col("__w") <= full
     per = per.withColumn("__level", level)
-    per = per.withColumn("__level", F.min(F.when(fits, F.col("__level"))).over(everything))
+    per = per.withColumn("__level", F.max(F.when(fits, F.col("__level"))).over(everything))
     target = F.least(full, F.col("__level") * F.col("__w"))
     return per.select("source", "source_size", "n_rows", "place", target.alias("target"))
 

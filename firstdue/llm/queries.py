@@ -29,7 +29,7 @@ levels as (
     / sum(w) over (order by full_size / w, place
           rows between current row and unbounded following) as level from weighed),
 leveled as (
-  select *, min(case when level * w <= full_size then level end) over () as the_level from levels),
+  select *, max(case when level * w <= full_size then level end) over () as the_level from levels),
 targets as (
   select source, source_size, least(full_size, the_level * w) as target from leveled),
 placed as (
