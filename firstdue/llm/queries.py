@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firstdue.llm import chat, decontamination, mixing, quality, simhash, tokens, toxicity, urls
+from firstdue.llm import (
+    chat, decontamination, licenses, line_dedup, mixing, quality, simhash, tokens, toxicity, urls,
+)
 from firstdue.llm.registry import ORACLE, QUERIES, register, table  # noqa: F401
 from firstdue.llm.text import LOWER, UPPER, blank_if_null, fenced
 
@@ -215,3 +217,48 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels")
     scored = toxicity.score_toxicity(documents, toxicity.fit(documents, labels.filter(~aside)))
     return scored.select("doc_id", aside.alias("held_out"), "score", "predicted", "evidence")
+
+
+@register("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    clean = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return clean.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def _licence_sql() -> str:
+    known = list(licenses.SENTENCES.values())
+    number = {name: k for k, name in enumerate(licenses.SENTENCES, 1)}
+    cases = {"".join(f"<{number[x]}>" for x in seq): name for name, seq in licenses.RULES}
+    quote = lambda values: ", ".join("'" + v + "'" for v in values)
+    return f"""
+with cut as (
+  select doc_id, string_split_regex(translate(coalesce(text, ''), {_FOLD}),
+    '{licenses.SENTENCE_END}') as s from documents),
+named as (
+  select doc_id, i, coalesce(list_position([{quote(known)}],
+    trim(regexp_replace(s[i], '{licenses.NOT_ALNUM}', ' ', 'g'))), 0) as id
+  from cut, unnest(range(1, len(s) + 1)) as t(i)),
+found as (
+  select *, i - lag(i) over (partition by doc_id order by i) as gap from named where id > 0),
+sequences as (
+  select doc_id, count(*) as n_known, string_agg(
+    case when gap > {licenses.MAX_GAP} then '|' else '' end || '<' || id || '>', '' order by i)
+    as sequence from found group by doc_id),
+runs as (
+  select doc_id, unnest(regexp_extract_all(sequence,
+    '{licenses.rule_pattern(licenses.RULES, number)}')) as run from sequences),
+names as (
+  select doc_id, list_sort(list(distinct name)) as ids from (
+    select doc_id, case {" ".join(f"when run = '{r}' then '{n}'" for r, n in cases.items())} end
+      as name from runs) where name is not null group by doc_id)
+select d.doc_id, coalesce(n_known, 0) as n_known, coalesce(sequence, '') as sequence,
+  coalesce(array_to_string(ids, ','), '') as licenses
+from documents d left join sequences s on s.doc_id = d.doc_id
+  left join names n on n.doc_id = d.doc_id
+"""
+
+
+@register("op6_licenses", _licence_sql())
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = licenses.scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", "n_known", "sequence", F.array_join("licenses", ",").alias("licenses"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firstdue.llm.components import components
+from firstdue.llm.runs import run_sizes, sorted_runs
 from firstdue.llm.store import stored
 from firstdue.llm.text import KEY, row_key
 from firstdue.operators.joins import lookup_join
@@ -114,10 +115,7 @@ def _meet(max_bits: int):
     """A function that turns sorted (bucket, fp) rows into links and rows of large buckets."""
 
     def compare(bucket: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(bucket):
-            return
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        sizes = np.repeat(np.diff(np.r_[starts, len(bucket)]), np.diff(np.r_[starts, len(bucket)]))
+        sizes = run_sizes(bucket)
         large = sizes > BUCKET
         if large.any():
             yield _rows(bucket[large], fp[large], None)
@@ -140,27 +138,11 @@ def _meet(max_bits: int):
                 yield _rows(None, fp[same[ok]], fp[same[ok] + step])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        flooded = None
-        for batch in batches:
-            bucket, fp = (batch.column(c).to_numpy() for c in ("bucket", "fp"))
-            if flooded is not None:
-                more = bucket == flooded
-                if more.any():
-                    yield _rows(bucket[more], fp[more], None)
-                    bucket, fp = bucket[~more], fp[~more]
-            bucket, fp = np.r_[held[0], bucket], np.r_[held[1], fp]
-            if not len(bucket):
-                continue
-            # The last bucket may go on in the next batch.
-            last = int(np.searchsorted(bucket, bucket[-1], side="left"))
-            yield from compare(bucket[:last], fp[:last])
-            held = bucket[last:], fp[last:]
-            if len(held[0]) > BUCKET:
-                flooded = held[0][0]
-                yield _rows(*held, None)
-                held = held[0][:0], held[1][:0]
-        yield from compare(*held)
+        for large, (bucket, fp) in sorted_runs(batches, ["bucket", "fp"], BUCKET):
+            if large:
+                yield _rows(bucket, fp, None)
+            else:
+                yield from compare(bucket, fp)
 
     return run
 
