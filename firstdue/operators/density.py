@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firstdue.constants import DENSITY_BANDS
-from firstdue.operators.joins import lookup_join
 from firstdue.operators.quantiles import group_quantiles
 
 # Ship these functions with the task: executors need no copy of the package.
@@ -44,43 +43,63 @@ def _attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("__one", values).select(*df.columns, "__one.*")
 
 
-def bandwidths(points: DataFrame, facet: str | None = None, strategy: str = "auto") -> DataFrame:
+def _span(points: DataFrame) -> DataFrame:
+    return points.agg(
+        F.min("lon").alias("x0"), F.max("lon").alias("x1"),
+        F.min("lat").alias("y0"), F.max("lat").alias("y1"),
+    )
+
+
+def bandwidths(points: DataFrame, facet: str | None = None) -> DataFrame:
     """``n`` and the kernel width of each axis (``sx``, ``sy``), per facet.
 
-    Width: 1.06 · min(sd, IQR / 1.34) · n^(-1/5).
+    Width: 1.06 · min(sd, IQR / 1.34) · n^(-1/5). Fails where a width is not positive, as
+    for a single point or when half of the rows share a coordinate: there is no density.
     """
     keys = [facet] if facet else []
     c = F.col("c")
-    means = points.groupBy(*keys).agg(
+    # Sums of squares around the lowest point, so that no digits cancel.
+    dx, dy = F.col("lon") - F.col("x0"), F.col("lat") - F.col("y0")
+    sums = _attach(points, _span(points)).groupBy(*keys).agg(
         F.sum("c").alias("n"),
-        (F.sum(c * F.col("lon")) / F.sum("c")).alias("mx"),
-        (F.sum(c * F.col("lat")) / F.sum("c")).alias("my"),
+        *[
+            F.sum(c * d * e).alias(name)
+            for d, axis in ((dx, "x"), (dy, "y"))
+            for e, name in ((F.lit(1.0), f"s1{axis}"), (d, f"s2{axis}"))
+        ],
+    )
+    axes = F.array(
+        *[F.struct(F.lit(a).alias("__axis"), F.col(v).alias("__v")) for a, v in (("x", "lon"), ("y", "lat"))]
+    )
+    long = points.select(*keys, "c", F.inline(axes))
+    quartiles = group_quantiles(
+        long, [*keys, "__axis"], "__v", {"q1": 0.25, "q3": 0.75}, weight="c"
     )
-    if facet:
-        centred = lookup_join(points, means, facet, "inner")
-    else:
-        centred = _attach(points, means)
-    dx, dy = F.col("lon") - F.col("mx"), F.col("lat") - F.col("my")
-    spread = centred.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        F.sqrt(F.try_divide(F.sum(c * dx * dx), F.max("n") - 1)).alias("sdx"),
-        F.sqrt(F.try_divide(F.sum(c * dy * dy), F.max("n") - 1)).alias("sdy"),
+    ranges = quartiles.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("__axis") == a, F.col("q3") - F.col("q1"))).alias(f"iqr{a}")
+            for a in ("x", "y")
+        ]
     )
-    out = spread
-    for axis, name in (("lon", "x"), ("lat", "y")):
-        quartiles = group_quantiles(
-            points, keys, axis, {f"q1{name}": 0.25, f"q3{name}": 0.75},
-            strategy=strategy, weight="c",
-        )
-        out = out.join(quartiles, facet) if facet else _attach(out, quartiles)
-
-    def width(name: str):
-        iqr = (F.col(f"q3{name}") - F.col(f"q1{name}")) / 1.34
-        return 1.06 * F.least(F.col(f"sd{name}"), iqr) * F.pow(F.col("n"), F.lit(-0.2))
+    out = _by_facet(sums, ranges, facet) if facet else _attach(sums, ranges)
+
+    def width(axis: str):
+        squares = F.col(f"s2{axis}") - F.col(f"s1{axis}") * F.col(f"s1{axis}") / F.col("n")
+        sd = F.sqrt(F.try_divide(F.greatest(squares, F.lit(0.0)), F.col("n") - 1))
+        found = 1.06 * F.least(sd, F.col(f"iqr{axis}") / 1.34) * F.pow(F.col("n"), F.lit(-0.2))
+        # One point has no spread at all.
+        message = f"no density: the kernel width of axis {axis} is not positive"
+        return F.when((found > 0) & (F.col("n") > 1), found).otherwise(F.raise_error(F.lit(message)))
 
     return out.select(*keys, "n", width("x").alias("sx"), width("y").alias("sy"))
 
 
+def _by_facet(rows: DataFrame, table: DataFrame, facet: str) -> DataFrame:
+    """Join a table with one row per facet, where a missing facet is one like any other."""
+    named = table.withColumnRenamed(facet, "__f")
+    return rows.join(named, rows[facet].eqNullSafe(named["__f"])).drop("__f")
+
+
 def _kernel(nodes: np.ndarray, x: np.ndarray, width: float) -> np.ndarray:
     z = (nodes[None, :] - x[:, None]) / width
     return np.exp(-0.5 * z * z) / np.sqrt(2.0 * np.pi)
@@ -123,25 +142,20 @@ def _grid_sums(size: int):
 
 
 def density_grid(
-    rows: DataFrame, size: int = 100, facet: str | None = None, strategy: str = "auto"
+    rows: DataFrame, size: int = 100, facet: str | None = None
 ) -> DataFrame:
     """Density at ``size`` × ``size`` nodes spanning the data.
 
-    With ``facet`` each value has its own bandwidth; all share the same nodes.
+    With ``facet`` each value has its own bandwidth, a missing one too; all share the same
+    nodes. No rows give no density; see ``bandwidths`` for rows without spread.
     """
     points = point_counts(rows, facet)
-    span = points.agg(
-        F.min("lon").alias("x0"), F.max("lon").alias("x1"),
-        F.min("lat").alias("y0"), F.max("lat").alias("y1"),
-    )
-    widths = bandwidths(points, facet, strategy)
-    usable = (F.col("sx") > 0) & (F.col("sy") > 0)  # one point has no density
-    if facet:
-        placed = lookup_join(points, widths.filter(usable), facet, "inner")
-    else:
-        placed = _attach(points, widths).filter(usable)
-    placed = _attach(placed, span).select(
-        (F.col(facet) if facet else F.lit("all")).cast("string").alias("facet"),
+    widths = bandwidths(points, facet)
+    placed = _by_facet(points, widths, facet) if facet else _attach(points, widths)
+    # As text on the way: blank for a missing facet, else marked.
+    text = F.concat(F.lit("="), F.col(facet).cast("string")) if facet else F.lit("")
+    placed = _attach(placed, _span(points)).select(
+        F.coalesce(text, F.lit("")).alias("facet"),
         "lon", "lat", "c", "n", "sx", "sy", "x0", "x1", "y0", "y1",
     )
     sums = placed.mapInPandas(
@@ -150,7 +164,11 @@ def density_grid(
     out = sums.groupBy("facet", "ix", "iy").agg(
         F.min("lon").alias("lon"), F.min("lat").alias("lat"), F.sum("density").alias("density")
     )
-    return out.withColumnRenamed("facet", facet) if facet else out.drop("facet")
+    if not facet:
+        return out.drop("facet")
+    value = F.when(F.col("facet") != "", F.substring("facet", 2, 2**31 - 1))
+    own = value.cast(rows.schema[facet].dataType).alias(facet)
+    return out.select(own, *[c for c in out.columns if c != "facet"])
 
 
 def density_bands(

@@ -9,25 +9,22 @@ from pyspark.sql import functions as F
 
 from firstdue.operators.quantiles import group_quantiles
 
+# Of a class width: what counts as lying on a break, when the breaks are chosen and
+# when values are counted.
+BREAK_EDGE, COUNT_EDGE = 1e-10, 1e-7
+
 
 def six_number_summary(
-    df: DataFrame, value: str, keys: Sequence[str] = (), strategy: str = "auto"
+    df: DataFrame, value: str, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Minimum, quartiles, mean, maximum and number of missing values."""
-    x = F.col(value)
     names = ["min", "q1", "median", "mean", "q3", "max", "n_missing"]
     out = group_quantiles(
         df,
         list(keys),
         value,
         {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        aggs=[
-            F.min(x).alias("min"),
-            F.avg(x).alias("mean"),
-            F.max(x).alias("max"),
-            F.count_if(x.isNull()).alias("n_missing"),
-        ],
-        strategy=strategy,
+        {"min": "min", "mean": "mean", "max": "max", "n_missing": "missing"},
     )
     return out.select(*keys, *names)
 
@@ -75,8 +72,8 @@ def pretty_breaks(n: Column, low: Column, high: Column) -> dict[str, Column]:
     unit = F.when(same, 1.0).otherwise(multiple * base)
     return {
         "unit": unit,
-        "first": F.when(same, F.ceil(low) - 1).otherwise(F.floor(low / unit)),
-        "last": F.ceil(high / unit),
+        "first": F.when(same, F.ceil(low) - 1).otherwise(F.floor(low / unit + BREAK_EDGE)),
+        "last": F.ceil(high / unit - BREAK_EDGE),
     }
 
 
@@ -96,7 +93,7 @@ def auto_histogram(df: DataFrame, value: str) -> DataFrame:
     ).filter(F.col("rule.unit").isNotNull())
     rows = df.filter(x.isNotNull()).select(x.alias("x"), breaks.scalar().alias("rule"))
     unit, first = F.col("rule.unit"), F.col("rule.first")
-    number = F.greatest(F.ceil(F.col("x") / unit) - first, F.lit(1)).cast("long")
+    number = F.greatest(F.ceil(F.col("x") / unit - COUNT_EDGE) - first, F.lit(1)).cast("long")
     counted = rows.groupBy(number.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.any_value("rule").alias("rule")
     )

@@ -49,11 +49,10 @@ def quantile_by_unit_year(
     before: str,
     after: str,
     value: str = "first_resp",
-    strategy: str = "auto",
 ) -> DataFrame:
     """A quantile of minutes per unit, one column per year; blank units dropped."""
     named = rows.filter(F.col("unit") != "")
-    found = group_quantiles(named, ["unit", "year"], value, {"m": p}, strategy=strategy)
+    found = group_quantiles(named, ["unit", "year"], value, {"m": p})
     return spread_years(found, "m", years, before, after)
 
 
@@ -64,10 +63,9 @@ def quantile_by_year(
     before: str,
     after: str,
     value: str = "first_resp",
-    strategy: str = "auto",
 ) -> DataFrame:
     """A quantile of minutes per year, in one row."""
-    found = group_quantiles(rows, ["year"], value, {"m": p}, strategy=strategy)
+    found = group_quantiles(rows, ["year"], value, {"m": p})
     return spread_years(found, "m", years, before, after, key=None)
 
 

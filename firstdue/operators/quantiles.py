@@ -1,17 +1,16 @@
 """Exact quantiles per group, also where one group holds most of the rows.
 
-``percentile`` keeps every distinct value of a group in one task. That is the
-fastest way while the whole input is small, and it fails on a group of billions
-of rows. Beyond a checked input size the quantile is found by narrowing instead:
-
-1. count rows per (group, coarse bucket); a running sum over the at most few
-   thousand buckets of a group tells which bucket holds the wanted rank;
-2. read the rows again, keep those in one of these buckets, count them per
-   (group, value) and narrow once more to fine buckets (2**19 per coarse one);
-3. rank the values left over and interpolate.
-
-Every step is a hash aggregate with map-side combine, nothing is sampled, and
-no task ever holds a group: windows run over bucket counts, not over rows.
+``percentile`` keeps every distinct value of a group in one task and fails on a group of
+billions of rows. Here a quantile is found by narrowing, for every size of input:
+
+1. rows are counted per (group, value), with map-side combine: the one shuffle of the
+   rows, and all that follows reads its result;
+2. counts per coarse bucket of values, and a running sum over the at most few
+   thousand buckets of a group, tell which bucket holds the wanted rank;
+3. values in these buckets are narrowed once more to fine buckets (2**19 per coarse
+   one), ranked and interpolated.
+
+Nothing is sampled, and no task holds a group: windows run over bucket counts.
 """
 
 from __future__ import annotations
@@ -22,19 +21,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firstdue.functions.nulls import na_policy
-
-SINGLE_PASS_BYTES = 32 * 1024 * 1024
 COARSE_PER_OCTAVE = 2**7
 FINE_PER_OCTAVE = 2**26
 LOWEST_EXPONENT = -1074  # of a double
 HIGHEST_EXPONENT = 1024  # taken by infinity alone
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """Bytes the sources of ``df`` hold, by the optimizer's own estimates."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+#: What ``extra`` can ask for: totals of a group, from its coarse buckets.
+EXTRAS = {
+    "rows": lambda: F.sum("__rows"),
+    "missing": lambda: F.sum(F.col("__rows") - F.col("__c")),
+    "min": lambda: F.min("__min"),
+    "max": lambda: F.max("__max"),
+    "sum": lambda: F.sum("__sum"),
+}
 
 
 def group_quantiles(
@@ -42,42 +42,23 @@ def group_quantiles(
     keys: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
-    aggs: Sequence[Column] = (),
+    extra: Mapping[str, str] | None = None,
     na: str = "skip",
-    strategy: str = "auto",
     weight: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated (type 7) quantiles of ``value`` per ``keys``.
 
-    ``quantiles`` names the output columns, ``aggs`` are further aggregates of
-    the same groups. ``strategy`` is ``single_pass``, ``narrow`` or ``auto``.
-    With ``weight`` a row stands for that many equal rows.
+    ``quantiles`` names the output columns; ``extra`` names further ones, each "rows",
+    "missing", "min", "max" or "mean" of the same group. NaN counts as missing. With ``weight``
+    a row stands for that many equal rows. A missing key is a group of its own.
     """
-    if strategy == "auto":
-        strategy = "single_pass" if scan_bytes(df) <= SINGLE_PASS_BYTES else "narrow"
-    if strategy == "single_pass":
-        # One aggregate for all shares, so that values are collected once.
-        shares = F.array(*[F.lit(float(p)) for p in quantiles.values()])
-        repeats = F.col(weight) if weight else F.lit(1)
-        found = na_policy(F.percentile(value, shares, repeats), value, na).alias("__q")
-        named = [F.col("__q")[i].alias(name) for i, name in enumerate(quantiles)]
-        grouped = df.groupBy(*keys).agg(found, *aggs)
-        others = [c for c in grouped.columns[len(keys) :] if c != "__q"]
-        return grouped.select(*keys, *named, *others)
-    if strategy != "narrow":
-        raise ValueError(f"unknown quantile strategy {strategy!r}")
-    found = _narrow(df, list(keys), value, dict(quantiles), na, weight)
-    if not aggs:
-        return found
-    others = df.groupBy(*keys).agg(*aggs)
-    return _join_on(found, others, list(keys))
+    if na not in ("skip", "propagate"):
+        raise ValueError(f"unknown policy {na!r}")
+    return _narrow(df, list(keys), value, dict(quantiles), dict(extra or {}), na, weight)
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join where a missing key matches a missing key."""
-    if not keys:  # one row each
-        one_row = right.select(F.struct(*right.columns)).scalar()
-        return left.withColumn("__one", one_row).select(*left.columns, "__one.*")
     marked = right.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
@@ -106,16 +87,21 @@ def _narrow(
     keys: list[str],
     value: str,
     quantiles: dict[str, float],
+    extra: dict[str, str],
     na: str,
     weight: str | None,
 ) -> DataFrame:
     x = F.col(value).cast("double")
     rows = df.select(
         *keys,
-        x.alias("__x"),
-        _bucket(x, COARSE_PER_OCTAVE).alias("__coarse"),
+        F.when(~F.isnan(x), x).alias("__x"),
         (F.col(weight) if weight else F.lit(1)).cast("long").alias("__w"),
     )
+    counted = (
+        rows.groupBy(*keys, "__x")
+        .agg(F.sum("__w").alias("__c"))
+        .withColumn("__coarse", _bucket(F.col("__x"), COARSE_PER_OCTAVE))
+    )
     n = F.col("__n")
 
     def position(p: float) -> Column:
@@ -134,32 +120,32 @@ def _narrow(
 
     wanted = reduce(lambda a, b: a | b, [holds(r) for r in ranks])
 
-    # Step 1: which coarse bucket holds each wanted rank. Missing values are a
-    # bucket of their own that holds no rank.
-    coarse = rows.groupBy(*keys, "__coarse").agg(
-        F.sum(F.when(F.col("__x").isNotNull(), F.col("__w")).otherwise(0)).alias("__c"),
-        F.sum("__w").alias("__rows"),
+    # Which coarse bucket holds each wanted rank. Missing values are a bucket of
+    # their own that holds no rank.
+    known = F.col("__x").isNotNull()
+    coarse = counted.groupBy(*keys, "__coarse").agg(
+        F.sum(F.when(known, F.col("__c")).otherwise(0)).alias("__c"),
+        F.sum("__c").alias("__rows"),
+        F.min("__x").alias("__min"),
+        F.max("__x").alias("__max"),
+        F.sum(F.col("__x") * F.col("__c")).alias("__sum"),
     )
     of_group = Window.partitionBy(*keys)
     upto = of_group.orderBy("__coarse").rowsBetween(Window.unboundedPreceding, 0)
+    parts = {"sum" if kind == "mean" else kind for kind in extra.values()} | {"missing"}
+    totals = [f"__t_{kind}" for kind in sorted(parts)]
     ranked_coarse = coarse.withColumns(
         {
             "__n": F.sum("__c").over(of_group),
-            "__missing": F.sum(F.col("__rows") - F.col("__c")).over(of_group),
             "__before": F.sum("__c").over(upto) - F.col("__c"),
+            **{f"__t_{kind}": EXTRAS[kind]().over(of_group) for kind in sorted(parts)},
         }
     )
     hit = ranked_coarse.filter(wanted).select(
-        *keys, "__coarse", "__n", "__missing", F.col("__before").alias("__base")
+        *keys, "__coarse", "__n", *totals, F.col("__before").alias("__base")
     )
 
-    # Step 2: values inside these buckets, counted; then the fine bucket. The
-    # broadcast set of bucket numbers cannot exceed the buckets a double has
-    # (about half a million), however many rows and groups there are.
-    inside = rows.join(
-        F.broadcast(hit.select("__coarse").distinct()), "__coarse", "left_semi"
-    )
-    counted = inside.groupBy(*keys, "__coarse", "__x").agg(F.sum("__w").alias("__c"))
+    # Values in these buckets; then the fine bucket.
     values = _join_on(counted, hit, [*keys, "__coarse"]).withColumn(
         "__fine", _bucket(F.col("__x"), FINE_PER_OCTAVE)
     )
@@ -177,7 +163,7 @@ def _narrow(
         .select(*keys, "__fine", F.col("__before").alias("__fine_base"))
     )
 
-    # Step 3: rank what is left, keep the wanted order statistics.
+    # Rank what is left, keep the wanted order statistics.
     upto = (
         Window.partitionBy(*keys, "__fine")
         .orderBy("__x")
@@ -187,11 +173,11 @@ def _narrow(
         _join_on(values, hit, [*keys, "__fine"])
         .withColumn("__before", F.col("__fine_base") + F.sum("__c").over(upto) - F.col("__c"))
         .filter(wanted)
-        .select(*keys, "__x", "__n", "__missing", "__before", "__c")
+        .select(*keys, "__x", "__n", *totals, "__before", "__c")
     )
     # A group without any value has no rank to find; it still gives a row.
     empty = ranked_coarse.filter(n == 0).select(
-        *keys, F.lit(None).cast("double").alias("__x"), "__n", "__missing", "__before", "__c"
+        *keys, F.lit(None).cast("double").alias("__x"), "__n", *totals, "__before", "__c"
     )
     ends = []
     for i, p in enumerate(quantiles.values()):
@@ -200,7 +186,7 @@ def _narrow(
     summary = (
         ranked.unionByName(empty)
         .groupBy(*keys)
-        .agg(F.max("__n").alias("__n"), F.max("__missing").alias("__missing"), *ends)
+        .agg(F.max("__n").alias("__n"), *[F.max(t).alias(t) for t in totals], *ends)
     )
     columns = []
     for i, (name, p) in enumerate(quantiles.items()):
@@ -209,6 +195,9 @@ def _narrow(
         between = (1 - share) * lo + share * hi
         result = F.when((share == 0) | (lo == hi), lo).otherwise(between)
         if na == "propagate":
-            result = F.when(F.col("__missing") == 0, result)
+            result = F.when(F.col("__t_missing") == 0, result)
         columns.append(result.alias(name))
+    for name, kind in extra.items():
+        total = F.try_divide(F.col("__t_sum"), F.col("__n")) if kind == "mean" else F.col(f"__t_{kind}")
+        columns.append(total.alias(name))
     return summary.select(*keys, *columns)

@@ -9,6 +9,8 @@ from firstdue.constants import CELL_DEGREES
 from firstdue.functions.labels import bad_geocode
 from firstdue.operators.quantiles import group_quantiles
 
+EDGE = 1e-8  # of a cell's width
+
 
 def mappable(
     responses: DataFrame,
@@ -42,22 +44,18 @@ def incident_points(rows: DataFrame, incident: str = "incident_id") -> DataFrame
     )
 
 
-def dot_points(rows: DataFrame, value: str = "first_resp", strategy: str = "auto") -> DataFrame:
+def dot_points(rows: DataFrame, value: str = "first_resp") -> DataFrame:
     """Rows and median of ``value`` per exact coordinate."""
-    return group_quantiles(
-        rows,
-        ["lon", "lat"],
-        value,
-        {"median": 0.5},
-        aggs=[F.count(F.lit(1)).alias("n")],
-        strategy=strategy,
-    )
+    return group_quantiles(rows, ["lon", "lat"], value, {"median": 0.5}, {"n": "rows"})
 
 
 def cell_number(x: Column, width: float, lowest: Column | None = None) -> Column:
-    """Number of the right-closed cell; the lowest cell also holds its lower edge."""
-    number = F.ceil(x / width) - 1
-    return number if lowest is None else F.greatest(number, F.floor(lowest / width))
+    """Number of the right-closed cell; the lowest cell also holds its lower edge.
+
+    A value within 1e-8 of a width of an edge lies on it: the division leaves that much.
+    """
+    number = F.ceil(x / width - EDGE) - 1
+    return number if lowest is None else F.greatest(number, F.floor(lowest / width + EDGE))
 
 
 def grid_summary(
@@ -67,7 +65,6 @@ def grid_summary(
     facet: str | None = None,
     width: float = CELL_DEGREES,
     closed_lowest: bool = True,
-    strategy: str = "auto",
 ) -> DataFrame:
     """A statistic of ``value`` per cell: "mean", "median" or a quantile share.
 
@@ -93,7 +90,7 @@ def grid_summary(
         out = cells.groupBy(*keys).agg(F.avg(value).alias("stat"), n)
     else:
         share = 0.5 if stat == "median" else float(stat)
-        out = group_quantiles(cells, keys, value, {"stat": share}, aggs=[n], strategy=strategy)
+        out = group_quantiles(cells, keys, value, {"stat": share}, {"n": "rows"})
     return out.withColumns(
         {
             "lon": (F.col("cell_x") + 0.5) * width,

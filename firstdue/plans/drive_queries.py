@@ -12,7 +12,7 @@ from firstdue.plans.checks import r, register, rounded, sql
 from firstdue.plans.siting import nearest_station_table, siting_table
 from firstdue.session import work_dir
 from firstdue.sources import adapters as A
-from firstdue.sources.files import save_drive_times
+from firstdue.sources.files import read_drive_times, save_drive_times
 
 KEY = ", ".join(A.RESPONSE_KEY)
 NEAREST = ["JW_and_FiveFifteen", "JW_and_Lowell", "Union_and_Lowell"]
@@ -40,23 +40,28 @@ def _(spark, folder):
         "select p.addr_id, p.n, s.station from (select addr_id, count(*) as n from fd "
         "where is_first = 1 and lon is not null group by addr_id) p "
         f"cross join (select unnest([{', '.join(repr(s) for s in A.STATIONS)}]) as station) s "
-        "anti join (select addr_id, station from drive_times where minutes < 3) k "
+        "anti join (select addr_id, station from drive_times "
+        "where station in ('HQ', 'Lowell') or (station = 'Teele' and addr_id % 2 = 0)) k "
         "on k.addr_id = p.addr_id and k.station = s.station"
     ),
 )
 def _(spark, folder):
     times = A.drive_times(spark, folder)
     path = work_dir(spark, "drive_times")
-    # Two saves, as of an interrupted look-up: the second keeps the first one's stations.
-    known = times.filter(F.col("minutes") < 3)
-    save_drive_times(known.filter(F.col("station") != "HQ"), path)
-    save_drive_times(known.filter(F.col("station") == "HQ"), path)
+    # As of an interrupted look-up: two stations are complete, one for even addresses, and a
+    # station was saved in two parts.
+    even = F.col("addr_id") % 2 == 0
+    save_drive_times(times.filter(F.col("station").isin("Lowell", "Teele") & even), path)
+    save_drive_times(times.filter("station = 'Lowell'").filter(~even), path)
+    save_drive_times(times.filter("station = 'HQ'"), path)
     rows = A.responses(spark, folder).filter(
         (F.col("is_first") == 1) & F.col("lon").isNotNull()
     )
     wanted = drive_times.destinations(rows, "addr_id")
     names = {s: s for s in A.STATIONS}
-    pending = drive_times.pending_pairs(wanted, spark.read.parquet(path), "addr_id", names)
+    pending = drive_times.pending_pairs(
+        wanted, read_drive_times(spark, path, "addr_id"), "addr_id", names
+    )
     return pending.select("addr_id", "n", "station")
 
 
@@ -255,12 +260,11 @@ def _(spark, folder):
     return rounded(distributions.six_number_summary(rows, "residual"), *SUMMARY)
 
 
-@register("six_number_summary_narrowed", sql(_summary_sql("lon", "fd")))
+@register("longitude_summary", sql(_summary_sql("lon", "fd")))
 def _(spark, folder):
-    # All rows as one group, a part of them missing, found the way large input takes.
+    # All rows as one group, a part of them missing.
     rows = A.responses(spark, folder)
-    summary = distributions.six_number_summary(rows, "lon", strategy="narrow")
-    return rounded(summary, *SUMMARY)
+    return rounded(distributions.six_number_summary(rows, "lon"), *SUMMARY)
 
 
 @register(
@@ -281,7 +285,7 @@ select cast(k.bin as bigint) as bin, {r('(first + k.bin - 1) * unit')} as lower,
   {r('(first + k.bin) * unit')} as upper, coalesce(c.n, 0) as n
 from (select unnest(range(1, cast(last - first as bigint) + 1)) as bin, * from rule) k
 left join (
-  select greatest(ceil(x / unit) - first, 1) as bin, count(*) as n
+  select greatest(ceil(x / unit - 1e-7::double) - first, 1) as bin, count(*) as n
   from v cross join rule group by 1) c on c.bin = k.bin""",
         *CAL,
         "v as (select JW_v_FiveFifteen as x from cal where unit = 'U3')",
@@ -292,7 +296,8 @@ lim as (
         "b as (select *, pow(10, floor(log10(cell))) as base from lim)",
         """
 rule as (
-  select unit, floor(lo / unit) as first, ceil(hi / unit) as last from (
+  select unit, floor(lo / unit + 1e-10::double) as first,
+    ceil(hi / unit - 1e-10::double) as last from (
     select *, base * case when not (2*base - cell < 1.5*(cell - base)) then 1
       when not (5*base - cell < 2.75*(cell - 2*base)) then 2
       when not (10*base - cell < 1.5*(cell - 5*base)) then 5 else 10 end as unit from b))""",

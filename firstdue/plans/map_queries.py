@@ -75,10 +75,10 @@ def _grid_sql(stat: str, facet: str | None = None, where: str = "true") -> str:
         f"""
 cells as (
   select year, first_resp,
-    cast(greatest(ceil(lon / 0.002::double) - 1,
-      floor(min(lon) over () / 0.002::double)) as bigint) as cell_x,
-    cast(greatest(ceil(lat / 0.002::double) - 1,
-      floor(min(lat) over () / 0.002::double)) as bigint) as cell_y
+    cast(greatest(ceil(lon / 0.002::double - 1e-8::double) - 1,
+      floor(min(lon) over () / 0.002::double + 1e-8::double)) as bigint) as cell_x,
+    cast(greatest(ceil(lat / 0.002::double - 1e-8::double) - 1,
+      floor(min(lat) over () / 0.002::double + 1e-8::double)) as bigint) as cell_y
   from mapped where is_first = 1 and {where})""",
     )
 

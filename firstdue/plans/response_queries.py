@@ -535,15 +535,6 @@ def _(spark, folder):
     return _rounded_years(indicators.quantile_by_unit_year(rows, 0.9, *CHANGE))
 
 
-@register("p90_by_unit_year_narrowed", sql(_quantile_sql(0.9)))
-def _(spark, folder):
-    # The way the quantile is found where the input is large.
-    rows = _critical(spark, folder)
-    return _rounded_years(
-        indicators.quantile_by_unit_year(rows, 0.9, *CHANGE, strategy="narrow")
-    )
-
-
 @register("p90_by_year", sql(_quantile_sql(0.9, key=None)))
 def _(spark, folder):
     rows = _critical(spark, folder)

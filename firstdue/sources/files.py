@@ -6,8 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, StringType, StructType
 
+SAVED = "saved_at"
 MISSING = "NA"  # how a missing value is spelled in the files
 # Quotes are doubled inside quoted text, blanks around it belong to it.
 FORMAT = {
@@ -19,8 +20,7 @@ FORMAT = {
 }
 
 
-def _typed(name: str, kind: DataType) -> Column:
-    cell = F.col(f"`{name}`")
+def _typed(cell: Column, kind: DataType) -> Column:
     if isinstance(kind, StringType):
         return F.when(cell.isNull(), "").when(cell != MISSING, cell)
     return F.trim(cell).try_cast(kind)
@@ -33,24 +33,25 @@ def read_csv(
     rename: Mapping[str, str] | None = None,
     multiline: bool = False,
 ) -> DataFrame:
-    """Read a CSV feed with a header; ``schema`` names the leading columns.
+    """Read the columns of ``schema`` from a CSV feed, by the names in its header.
 
+    Columns may stand in any order among others, such as row names; a missing one fails.
     The letters NA are missing and a blank text cell is a blank text, which
     Spark's own ``nullValue`` cannot tell apart; a number that does not parse is
-    missing. ``rename`` maps header names to names without dots. Leave
-    ``multiline`` off where no cell holds a line end: such files can be split.
+    missing. ``rename`` maps header names to names without dots. All files of a folder have
+    one header. Leave ``multiline`` off where no cell holds a line end: such files can be split.
     """
-    cells = StructType([StructField(f.name, StringType(), True) for f in schema.fields])
-    raw = (
-        spark.read.options(**FORMAT)
-        .option("multiLine", multiline)
-        .option("enforceSchema", True)
-        .schema(cells)
-        .csv(path)
-    )
+    # Without a schema Spark takes the header's names, and every cell as text.
+    raw = spark.read.options(**FORMAT).option("multiLine", multiline).csv(path)
+    absent = [f.name for f in schema.fields if f.name not in raw.columns]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}; it has {', '.join(raw.columns)}")
     names = dict(rename or {})
     return raw.select(
-        *[_typed(f.name, f.dataType).alias(names.get(f.name, f.name)) for f in schema.fields]
+        *[
+            _typed(raw[f"`{f.name}`"], f.dataType).alias(names.get(f.name, f.name))
+            for f in schema.fields
+        ]
     )
 
 
@@ -69,15 +70,27 @@ def save_responses(df: DataFrame, path: str, partition: str = "year") -> None:
 
 
 def save_drive_times(times: DataFrame, path: str) -> None:
-    """Store drive times station by station.
+    """Add looked-up drive times to the stored ones, station by station.
 
-    Only stations present in ``times`` are replaced, so an interrupted look-up
-    keeps what earlier runs have stored.
+    Saves only add rows, so an interrupted look-up, or one that knows a part of a station's
+    addresses, loses nothing. Each save is numbered by the time of writing; of repeated pairs
+    ``read_drive_times`` takes the latest.
     """
     (
-        times.hint("rebalance", "station")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        times.withColumn(SAVED, F.current_timestamp())
+        .hint("rebalance", "station")
+        .write.mode("append")
         .partitionBy("station")
         .parquet(path)
     )
+
+
+def read_drive_times(spark: SparkSession, path: str, key: str = "full_address") -> DataFrame:
+    """The stored drive times, one row per ``key`` and station: the latest saved.
+
+    Rows of one save that repeat a pair are settled by their values, the largest first.
+    """
+    stored = spark.read.parquet(path)
+    rest = [c for c in stored.columns if c not in (key, "station", SAVED)]
+    latest = stored.groupBy(key, "station").agg(F.max(F.struct(SAVED, *rest)).alias("row"))
+    return latest.select(key, "station", *[F.col(f"row.{c}").alias(c) for c in rest])

@@ -98,22 +98,47 @@ def test_both_quantile_ways_are_exact(spark):
     for group in {g for g, _ in data}:
         x = np.array([v for g, v in data if g == group and v is not None])
         expected[group] = [float(np.quantile(x, p)) if len(x) else None for p in shares.values()]
-    for strategy in ("single_pass", "narrow"):
-        out = group_quantiles(df, ["k"], "x", shares, strategy=strategy)
-        got = {r[0]: list(r)[1:] for r in out.collect()}
-        assert got.keys() == expected.keys()
-        for group, values in expected.items():
-            if None in values:
-                assert got[group] == values
-            else:
-                assert got[group] == pytest.approx(values, rel=1e-12), (strategy, group)
+    out = group_quantiles(df, ["k"], "x", shares)
+    got = {r[0]: list(r)[1:] for r in out.collect()}
+    assert got.keys() == expected.keys()
+    for group, values in expected.items():
+        if None in values:
+            assert got[group] == values
+        else:
+            assert got[group] == pytest.approx(values, rel=1e-12), group
     total = [float(np.quantile([v for _, v in data if v is not None], p)) for p in (0.5, 0.9)]
-    for strategy in ("single_pass", "narrow"):
-        out = group_quantiles(
-            df, [], "x", {"m": 0.5, "n": 0.9}, aggs=[F.count(F.lit(1)).alias("c")],
-            strategy=strategy,
-        ).collect()[0]
-        assert list(out)[:2] == pytest.approx(total, rel=1e-12) and out["c"] == len(data)
+    extra = {"c": "rows", "none": "missing", "a": "mean", "low": "min", "high": "max"}
+    out = group_quantiles(df, [], "x", {"m": 0.5, "n": 0.9}, extra).collect()[0]
+    assert list(out)[:2] == pytest.approx(total, rel=1e-12) and out["c"] == len(data)
+    known = [v for _, v in data if v is not None]
+    assert out["none"] == len(data) - len(known)
+    assert (out["low"], out["high"]) == (min(known), max(known))
+    assert out["a"] == pytest.approx(sum(known) / len(known))
+
+
+def test_quantiles_of_nan_and_infinity(spark):
+    # NaN is missing; infinity is the largest value.
+    values = [1.0, 2.0, float("nan"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    out = group_quantiles(df, [], "x", {"m": 0.5, "p": 0.9}, {"gone": "missing"}).collect()[0]
+    assert tuple(out) == (2.0, float("inf"), 1)
+
+
+def test_quantiles_of_many_groups(spark):
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("k"), (F.col("id") * 0.5).alias("x"))
+    out = group_quantiles(df, ["k"], "x", {"m": 0.5})
+    wrong = out.filter(F.abs(F.col("m") - (F.col("k") * 0.5 + 3750)) > 1e-9)
+    assert out.count() == 5000 and wrong.count() == 0
+
+
+def test_quantiles_shuffle_the_rows_once(spark, folder):
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet")
+    out = group_quantiles(rows, ["l_suppkey"], "l_extendedprice", {"m": 0.5}, {"n": "rows"})
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    # Every use of the counted values but the first reads the same exchange.
+    assert final.count("FileScan parquet") - final.count("ReusedExchange") <= 1
 
 
 def test_quantile_weights_and_na_policy(spark):
@@ -121,21 +146,17 @@ def test_quantile_weights_and_na_policy(spark):
         [("a", 1.0, 2), ("a", 2.0, 1), ("a", 10.0, 1), ("b", 1.0, 1), ("b", None, 3)],
         "k string, x double, w int",
     )
-    for strategy in ("single_pass", "narrow"):
-        out = group_quantiles(df, ["k"], "x", {"m": 0.5}, strategy=strategy, weight="w")
-        assert rows(out, "k") == [("a", 1.5), ("b", 1.0)]
-        out = group_quantiles(
-            df, ["k"], "x", {"m": 0.5}, strategy=strategy, weight="w", na="propagate"
-        )
-        assert rows(out, "k") == [("a", 1.5), ("b", None)]
-    assert group_quantiles(df, [], "x", {"p": 0.9}, strategy="narrow").collect()[0]["p"] > 7
+    out = group_quantiles(df, ["k"], "x", {"m": 0.5}, weight="w")
+    assert rows(out, "k") == [("a", 1.5), ("b", 1.0)]
+    out = group_quantiles(df, ["k"], "x", {"m": 0.5}, weight="w", na="propagate")
+    assert rows(out, "k") == [("a", 1.5), ("b", None)]
+    assert group_quantiles(df, [], "x", {"p": 0.9}).collect()[0]["p"] > 7
 
 
 def test_known_p90(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "x double")
-    for strategy in ("single_pass", "narrow"):
-        out = group_quantiles(df, [], "x", {"p": 0.9}, strategy=strategy)
-        assert out.collect()[0]["p"] == pytest.approx(7.9)
+    out = group_quantiles(df, [], "x", {"p": 0.9})
+    assert out.collect()[0]["p"] == pytest.approx(7.9)
 
 
 # Indicators and distributions ---------------------------------------------------
@@ -183,12 +204,11 @@ def test_auto_histogram(spark):
 
 def test_six_numbers_of_missing_only(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0), ("b", 2.0)], "k string, x double")
-    for strategy in ("single_pass", "narrow"):
-        out = distributions.six_number_summary(df, "x", ["k"], strategy)
-        assert rows(out, "k") == [
-            ("a", None, None, None, None, None, None, 1),
-            ("b", 1.0, 1.25, 1.5, 1.5, 1.75, 2.0, 0),
-        ]
+    out = distributions.six_number_summary(df, "x", ["k"])
+    assert rows(out, "k") == [
+        ("a", None, None, None, None, None, None, 1),
+        ("b", 1.0, 1.25, 1.5, 1.5, 1.75, 2.0, 0),
+    ]
 
 
 def test_welch_with_p_value(spark):
@@ -392,12 +412,10 @@ def test_density_against_brute_force(spark):
         ky = np.exp(-0.5 * ((gy[None] - b[:, None]) / width(b)) ** 2)
         return kx.T @ ky / (2 * np.pi * len(a) * width(a) * width(b))
 
-    for strategy in ("single_pass", "narrow"):
-        out = density.density_grid(df, 12, strategy=strategy)
-        got = np.zeros((12, 12))
-        for r in out.collect():
-            got[r["ix"], r["iy"]] = r["density"]
-        assert got == pytest.approx(brute(x, y, 12), rel=1e-9)
+    got = np.zeros((12, 12))
+    for r in density.density_grid(df, 12).collect():
+        got[r["ix"], r["iy"]] = r["density"]
+    assert got == pytest.approx(brute(x, y, 12), rel=1e-9)
     odd = np.arange(400) % 2 == 1
     faceted = density.density_grid(df, 12, "year").filter("year = 'p'")
     got = np.zeros((12, 12))
@@ -408,6 +426,44 @@ def test_density_against_brute_force(spark):
     assert min(bands) == 1 and max(bands) == 16
 
 
+def test_density_needs_spread(spark):
+    # Most rows on one point: the quartiles are equal.
+    df = spark.createDataFrame([(1.0, 2.0)] * 9 + [(3.0, 4.0), (5.0, 5.0)], "lon double, lat double")
+    with pytest.raises(Exception, match="kernel width of axis"):
+        density.density_grid(df, 5).collect()
+    assert density.density_grid(df.limit(0), 5).count() == 0
+
+
+def test_density_keeps_a_missing_facet_and_the_facets_type(spark):
+    draw = np.random.default_rng(7)
+    data = [(float(a), float(b), i % 2 or None) for i, (a, b) in enumerate(draw.normal(0, 1, (60, 2)))]
+    df = spark.createDataFrame(data, "lon double, lat double, zone int")
+    grid = density.density_grid(df, 6, "zone")
+    assert dict(grid.dtypes)["zone"] == "int"
+    assert {(r["zone"], r["n"]) for r in grid.groupBy("zone").agg(F.count("*").alias("n")).collect()} == {
+        (None, 36), (1, 36)
+    }
+
+
+def test_values_on_cell_edges(spark):
+    # 0.002 * k is not exact in binary; each edge belongs to the cell below it.
+    edges = [-71.1 + 0.002 * k for k in range(1, 60)]
+    df = spark.createDataFrame([(e, k) for k, e in enumerate(edges, 1)], "x double, k int")
+    got = df.select(spatial.cell_number(F.col("x"), 0.002).alias("c"), "k").collect()
+    assert all(r["c"] == -35550 + r["k"] - 1 for r in got)
+
+
+def test_breaks_on_round_numbers(spark):
+    # Width 0.1 or 0.2: the lowest value lies on a break and opens no class of its own.
+    for low, step in ((0.3, 0.1), (0.6, 0.1), (0.7, 0.1), (1.2, 0.1)):
+        values = [low + step * k for k in range(5)]
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        got = rows(distributions.auto_histogram(df, "x"), "bin")
+        assert got[0][3] > 0 and got[-1][3] > 0, (low, got)
+        assert sum(g[3] for g in got) == 5
+        assert got[0][1] == pytest.approx(low) and got[-1][2] == pytest.approx(values[-1])
+
+
 def test_density_sums_to_one(spark):
     corners = [(-9.0, -9.0), (9.0, 9.0)]
     draw = np.random.default_rng(4)

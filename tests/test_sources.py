@@ -31,18 +31,35 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(data)
 
 
-def test_saving_one_station_keeps_the_others(spark, tmp_path):
+def test_saves_add_up_and_the_latest_wins(spark, tmp_path):
     path = str(tmp_path / "times")
-    times = spark.createDataFrame(
-        [("a", "HQ", 1.0), ("b", "HQ", 2.0), ("a", "Union", 3.0)],
-        "full_address string, station string, minutes double",
-    )
-    files.save_drive_times(times, path)
-    files.save_drive_times(times.filter("station = 'HQ'").withColumn("minutes", F.lit(9.0)), path)
-    got = spark.read.parquet(path).select("full_address", "station", "minutes")
+    kind = "full_address string, station string, minutes double"
+
+    def save(*data):
+        files.save_drive_times(spark.createDataFrame(data, kind), path)
+
+    save(("a", "HQ", 1.0), ("b", "HQ", 2.0), ("a", "Union", 3.0))
+    save(("c", "HQ", 4.0))  # a part of a station: the stored rows stay
+    save(("a", "HQ", 9.0), ("d", "HQ", 5.0), ("d", "HQ", 6.0))
+    got = files.read_drive_times(spark, path).select("full_address", "station", "minutes")
     assert sorted(map(tuple, got.collect())) == [
-        ("a", "HQ", 9.0), ("a", "Union", 3.0), ("b", "HQ", 9.0),
+        ("a", "HQ", 9.0), ("a", "Union", 3.0), ("b", "HQ", 2.0), ("c", "HQ", 4.0), ("d", "HQ", 6.0),
+    ]
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    # Row names first, the key after, further columns between.
+    path = tmp_path / "locations.csv"
+    path.write_text(
+        '"","IncNum","n","lat","Full.Address","lon"\n"1","A-7",3,42.4,"1 MAIN ST",-71.1\n'
+        '"2","A-8",NA,NA,"",-71.2\n'
+    )
+    df = files.read_csv(spark, str(path), tables.LOCATIONS, tables.LOCATIONS_NAMES)
+    assert [tuple(r) for r in df.collect()] == [
+        ("A-7", "1 MAIN ST", -71.1, 42.4), ("A-8", "", -71.2, None),
     ]
+    with pytest.raises(ValueError, match="no column Incnum, Unit, Resp.Time"):
+        files.read_csv(spark, str(path), tables.ARRIVALS)
 
 
 def test_saved_responses_prune_by_year(spark, tmp_path):
