@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from firstdue.functions.nulls import paste
 from firstdue.functions.text import trim_ws
 from firstdue.operators.joins import lookup_join
 
@@ -35,6 +34,11 @@ def first_arrivals(
     )
 
 
+def drop_blank_incidents(rows: DataFrame, incident: str = "incident_id") -> DataFrame:
+    """Rows whose incident has a number: neither missing nor blank."""
+    return rows.filter(trim_ws(F.col(incident).cast("string")) != "")
+
+
 def with_first_arrival(
     activity: DataFrame,
     first: DataFrame,
@@ -45,25 +49,29 @@ def with_first_arrival(
     """Left join the first arrival and flag the responses of that unit.
 
     ``locations`` with the same key come along in the same join, so that the
-    many activity rows are shuffled once. The flag compares incident and unit without surrounding blanks, the join
-    takes the incident as it is. Only text can carry blanks: other incident
-    keys settle the flag on the joined row, text keys need a second look-up.
+    many activity rows are shuffled once. The flag compares incident and unit without surrounding
+    blanks, the join takes the incident as it is. Only text can carry blanks: there the first
+    arrivals are gathered by trimmed incident (a handful per number: as many as it has
+    spellings), one look-up brings them all, and each row picks its own.
     """
     known = first if locations is None else first.join(locations, incident, "full")
-    joined = lookup_join(activity, known, incident)
     trimmed_unit = trim_ws(F.col(unit).cast("string"))
     if not isinstance(activity.schema[incident].dataType, StringType):
+        joined = lookup_join(activity, known, incident)
         same = trimmed_unit == trim_ws(F.col("first_unit").cast("string"))
         return joined.withColumn("is_first", F.when(same, 1).otherwise(0))
-    pairs = first.select(
-        paste(trim_ws(incident), trim_ws("first_unit")).alias("__pair"),
-        F.lit(True).alias("__found"),
-    ).dropDuplicates(["__pair"])
-    paired = joined.withColumn("__pair", paste(trim_ws(incident), trimmed_unit))
-    return (
-        lookup_join(paired, pairs, "__pair")
-        .withColumn("is_first", F.when(F.col("__found"), 1).otherwise(0))
-        .drop("__pair", "__found")
+    values = [c for c in known.columns if c != incident]
+    spelt = known.groupBy(trim_ws(F.col(incident)).alias("__plain")).agg(
+        F.collect_list(F.struct(F.col(incident).alias("__key"), *values)).alias("__known")
+    )
+    joined = lookup_join(
+        activity.withColumn("__plain", trim_ws(F.col(incident))), spelt, "__plain"
+    )
+    own = F.get(F.filter("__known", lambda k: k["__key"] == F.col(incident)), F.lit(0))
+    hit = F.exists("__known", lambda k: trim_ws(k["first_unit"]) == trimmed_unit)
+    return joined.withColumn("__own", own).select(
+        *activity.columns, *[F.col(f"__own.{c}").alias(c) for c in values],
+        F.when(hit, 1).otherwise(0).alias("is_first"),
     )
 
 

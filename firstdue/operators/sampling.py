@@ -26,13 +26,14 @@ def seeded_sample(
         return sample
     if on_short != "error":
         raise ValueError(f"unknown policy {on_short!r}")
-    # The n rows as one array: counts them even when there are none.
-    rows = sample.agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
-    message = F.concat(
-        F.lit(f"sample of {n} rows asked from "), F.size("rows").cast("string")
+    # One number, read as a scalar subquery; a sample without rows has to fail too, so the
+    # check stands on a row of its own that is then left out.
+    size = sample.agg(F.count(F.lit(1)).alias("__n"))
+    message = F.concat(F.lit(f"sample of {n} rows asked from "), F.col("__n").cast("string"))
+    checked = size.select(
+        F.when(F.col("__n") < n, F.raise_error(message).cast("boolean")).otherwise(True).alias("__ok")
     )
-    checked = F.when(F.size("rows") < n, F.raise_error(message)).otherwise(F.col("rows"))
-    return rows.select(F.inline(checked))
+    return sample.filter(checked.scalar()) if n else sample
 
 
 def with_row_number(df: DataFrame, key: str, name: str, pieces: int = 64) -> DataFrame:

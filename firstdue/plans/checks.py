@@ -46,6 +46,19 @@ def r(expression: str, places: int = 6) -> str:
     return f"cast(round(cast({expression} as decimal(38, 12)), {places}) as double)"
 
 
+def t_tail_sql(t: str, df: str, steps: int = 20_000) -> str:
+    """Two-sided probability of a t statistic: Simpson's rule on its density from 0 to \|t\|."""
+    at = f"(abs({t}) * i / {steps})"
+    weight = f"(case when i = 0 or i = {steps} then 1 when i % 2 = 1 then 4 else 2 end)"
+    density = f"pow(1 + {at} * {at} / {df}, -({df} + 1) / 2)"
+    scale = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi())"
+    area = (
+        f"(select sum({weight} * {density}) from range({steps + 1}) as s(i)) "
+        f"* abs({t}) / {steps} / 3 * {scale}"
+    )
+    return f"greatest(1 - 2 * {area}, 0)"
+
+
 def quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from firstdue.constants import CURRENT_SCENARIO, SCENARIOS, STATION_PAIRS
 from firstdue.operators import calibration, distributions, drive_times, scenarios
 from firstdue.operators.significance import with_fit_p_values
 from firstdue.plans import feeds
-from firstdue.plans.checks import r, register, rounded, sql
+from firstdue.plans.checks import r, register, rounded, sql, t_tail_sql
 from firstdue.plans.siting import nearest_station_table, siting_table
 from firstdue.session import work_dir
 from firstdue.sources import adapters as A
@@ -196,9 +198,20 @@ def _(spark, folder):
     return rounded(calibration.fit_calibration(rows, suffix="_in_traffic"), *FIT_COLUMNS)
 
 
-@register("calibration_p_value")
+@register(
+    "calibration_p_value",
+    sql(
+        FIT_SQL.replace(
+            " from fit",
+            f", {r(t_tail_sql('t_intercept', 'cast(n - 2 as double)'))} as p_intercept, "
+            f"{r(t_tail_sql('t_slope', 'cast(n - 2 as double)'))} as p_slope from fit",
+        ),
+        *CAL,
+    ),
+)
 def _(spark, folder):
-    return with_fit_p_values(calibration.fit_calibration(A.timed_responses(spark, folder)))
+    fit = calibration.fit_calibration(A.timed_responses(spark, folder))
+    return rounded(with_fit_p_values(fit), *FIT_COLUMNS, "p_intercept", "p_slope")
 
 
 @register(
@@ -243,21 +256,27 @@ def _summary_sql(value: str, source: str, key: str | None = None) -> str:
     )
 
 
-@register("ratio_summary", sql(
-    _summary_sql(
-        "d", "(select Union_and_Lowell / first_resp as d from cal "
-        "where Union_and_Lowell / nullif(first_resp, 0) < 3)"
-    ), *CAL
-))
-def _(spark, folder):
-    rows = calibration.ratio_without_outliers(calibrated(spark, folder), CURRENT_SCENARIO)
-    return rounded(distributions.six_number_summary(rows.select("diff"), "diff"), *SUMMARY)
+def _register_summaries(suffix: str, views: list[str]) -> None:
+    tag = "_traffic" if suffix else ""
+
+    @register(f"ratio_summary{tag}", sql(
+        _summary_sql(
+            "d", "(select Union_and_Lowell / first_resp as d from cal "
+            "where Union_and_Lowell / nullif(first_resp, 0) < 3)"
+        ), *views
+    ))
+    def _(spark, folder):
+        rows = calibration.ratio_without_outliers(calibrated(spark, folder, suffix), CURRENT_SCENARIO)
+        return rounded(distributions.six_number_summary(rows.select("diff"), "diff"), *SUMMARY)
 
+    @register(f"six_number_summary{tag}", sql(_summary_sql("residual", "cal"), *views))
+    def _(spark, folder):
+        rows = calibrated(spark, folder, suffix)
+        return rounded(distributions.six_number_summary(rows, "residual"), *SUMMARY)
 
-@register("six_number_summary", sql(_summary_sql("residual", "cal"), *CAL))
-def _(spark, folder):
-    rows = calibrated(spark, folder)
-    return rounded(distributions.six_number_summary(rows, "residual"), *SUMMARY)
+
+_register_summaries("", CAL)
+_register_summaries("_in_traffic", CAL_TRAFFIC)
 
 
 @register("longitude_summary", sql(_summary_sql("lon", "fd")))
@@ -267,45 +286,51 @@ def _(spark, folder):
     return rounded(distributions.six_number_summary(rows, "lon"), *SUMMARY)
 
 
-@register(
-    "summary_by_unit",
-    sql(_summary_sql("JW_v_FiveFifteen", "cal where unit in ('U1', 'U3')", "unit"), *CAL),
-)
-def _(spark, folder):
-    rows = calibrated(spark, folder).filter(F.col("unit").isin("U1", "U3"))
-    summary = distributions.six_number_summary(rows, "JW_v_FiveFifteen", ["unit"])
-    return rounded(summary, *SUMMARY)
+def _register_unit_tables(suffix: str, views: list[str]) -> None:
+    tag = "_traffic" if suffix else ""
 
+    @register(
+        f"summary_by_unit{tag}",
+        sql(_summary_sql("JW_v_FiveFifteen", "cal where unit in ('U1', 'U3')", "unit"), *views),
+    )
+    def _(spark, folder):
+        rows = calibrated(spark, folder, suffix).filter(F.col("unit").isin("U1", "U3"))
+        summary = distributions.six_number_summary(rows, "JW_v_FiveFifteen", ["unit"])
+        return rounded(summary, *SUMMARY)
 
-@register(
-    "histogram_auto",
-    sql(
-        f"""
-select cast(k.bin as bigint) as bin, {r('(first + k.bin - 1) * unit')} as lower,
-  {r('(first + k.bin) * unit')} as upper, coalesce(c.n, 0) as n
-from (select unnest(range(1, cast(last - first as bigint) + 1)) as bin, * from rule) k
-left join (
-  select greatest(ceil(x / unit - 1e-7::double) - first, 1) as bin, count(*) as n
-  from v cross join rule group by 1) c on c.bin = k.bin""",
-        *CAL,
-        "v as (select JW_v_FiveFifteen as x from cal where unit = 'U3')",
-        """
-lim as (
-  select min(x) as lo, max(x) as hi,
-    (max(x) - min(x)) / ceil(log2(count(*)) + 1) as cell from v)""",
-        "b as (select *, pow(10, floor(log10(cell))) as base from lim)",
-        """
-rule as (
-  select unit, floor(lo / unit + 1e-10::double) as first,
-    ceil(hi / unit - 1e-10::double) as last from (
-    select *, base * case when not (2*base - cell < 1.5*(cell - base)) then 1
-      when not (5*base - cell < 2.75*(cell - 2*base)) then 2
-      when not (10*base - cell < 1.5*(cell - 5*base)) then 5 else 10 end as unit from b))""",
-    ),
-)
-def _(spark, folder):
-    rows = calibrated(spark, folder).filter(F.col("unit") == "U3")
-    return rounded(distributions.auto_histogram(rows, "JW_v_FiveFifteen"), "lower", "upper")
+    @register(
+        f"histogram_auto{tag}",
+        sql(
+            f"""
+    select cast(k.bin as bigint) as bin, {r('(first + k.bin - 1) * unit')} as lower,
+      {r('(first + k.bin) * unit')} as upper, coalesce(c.n, 0) as n
+    from (select unnest(range(1, cast(last - first as bigint) + 1)) as bin, * from rule) k
+    left join (
+      select greatest(ceil(x / unit - 1e-7::double) - first, 1) as bin, count(*) as n
+      from v cross join rule group by 1) c on c.bin = k.bin""",
+            *views,
+            "v as (select JW_v_FiveFifteen as x from cal where unit = 'U3')",
+            """
+    lim as (
+      select min(x) as lo, max(x) as hi,
+        (max(x) - min(x)) / ceil(log2(count(*)) + 1) as cell from v)""",
+            "b as (select *, pow(10, floor(log10(cell))) as base from lim)",
+            """
+    rule as (
+      select unit, floor(lo / unit + 1e-10::double) as first,
+        ceil(hi / unit - 1e-10::double) as last from (
+        select *, base * case when not (2*base - cell < 1.5*(cell - base)) then 1
+          when not (5*base - cell < 2.75*(cell - 2*base)) then 2
+          when not (10*base - cell < 1.5*(cell - 5*base)) then 5 else 10 end as unit from b))""",
+        ),
+    )
+    def _(spark, folder):
+        rows = calibrated(spark, folder, suffix).filter(F.col("unit") == "U3")
+        return rounded(distributions.auto_histogram(rows, "JW_v_FiveFifteen"), "lower", "upper")
+
+
+_register_unit_tables("", CAL)
+_register_unit_tables("_in_traffic", CAL_TRAFFIC)
 
 
 # Scenarios --------------------------------------------------------------------
@@ -451,26 +476,33 @@ def _(spark, folder):
     return _shown(feeds.address_means(rows, list(SCENARIOS)), *SCENARIOS)
 
 
-@register(
-    "minutes_band",
-    _address_sql(["JW_and_Lowell"], f"{_band('JW_and_Lowell')} as band"),
-)
-def _(spark, folder):
-    out = feeds.scenario_map(calibrated(spark, folder), "JW_and_Lowell")
-    return _shown(out, flags=("band",))
+def _register_scenario_flags(suffix: str, views: list[str]) -> None:
+    tag = "_traffic" if suffix else ""
+    address_sql = partial(_address_sql, views=views)
 
+    @register(
+        f"minutes_band{tag}",
+        address_sql(["JW_and_Lowell"], f"{_band('JW_and_Lowell')} as band"),
+    )
+    def _(spark, folder):
+        out = feeds.scenario_map(calibrated(spark, folder, suffix), "JW_and_Lowell")
+        return _shown(out, flags=("band",))
 
-@register(
-    "under_five_flag",
-    _address_sql(
-        ["FiveFifteen_alone"],
-        f"{r('FiveFifteen_alone')} as minutes, {_flag('FiveFifteen_alone')} as under_five",
-    ),
-)
-def _(spark, folder):
-    out = feeds.scenario_map(calibrated(spark, folder), "FiveFifteen_alone")
-    out = out.withColumnRenamed("FiveFifteen_alone", "minutes")
-    return _shown(out, "minutes", flags=("under_five",))
+    @register(
+        f"under_five_flag{tag}",
+        address_sql(
+            ["FiveFifteen_alone"],
+            f"{r('FiveFifteen_alone')} as minutes, {_flag('FiveFifteen_alone')} as under_five",
+        ),
+    )
+    def _(spark, folder):
+        out = feeds.scenario_map(calibrated(spark, folder, suffix), "FiveFifteen_alone")
+        out = out.withColumnRenamed("FiveFifteen_alone", "minutes")
+        return _shown(out, "minutes", flags=("under_five",))
+
+
+_register_scenario_flags("", CAL)
+_register_scenario_flags("_in_traffic", CAL_TRAFFIC)
 
 
 @register(
@@ -485,50 +517,55 @@ def _(spark, folder):
     return _shown(out, "first_resp", flags=("under_five",))
 
 
-@register(
-    "address_station_difference",
-    _address_sql(
-        ["JW_v_FiveFifteen", "JW_v_Lowell"],
-        f"{r('JW_v_FiveFifteen')} as JW_v_FiveFifteen, {r('JW_v_Lowell')} as JW_v_Lowell",
-        "unit = 'U3'",
-    ),
-)
-def _(spark, folder):
-    values = ["JW_v_FiveFifteen", "JW_v_Lowell"]
-    return _shown(feeds.address_means(calibrated(spark, folder), values, unit="U3"), *values)
+def _register_differences(suffix: str, views: list[str]) -> None:
+    tag = "_traffic" if suffix else ""
+    address_sql = partial(_address_sql, views=views)
 
+    @register(
+        f"address_station_difference{tag}",
+        address_sql(
+            ["JW_v_FiveFifteen", "JW_v_Lowell"],
+            f"{r('JW_v_FiveFifteen')} as JW_v_FiveFifteen, {r('JW_v_Lowell')} as JW_v_Lowell",
+            "unit = 'U3'",
+        ),
+    )
+    def _(spark, folder):
+        values = ["JW_v_FiveFifteen", "JW_v_Lowell"]
+        return _shown(feeds.address_means(calibrated(spark, folder, suffix), values, unit="U3"), *values)
 
-@register(
-    "address_station_difference_all",
-    _address_sql(["FiveFifteen_v_Lowell"], f"{r('FiveFifteen_v_Lowell')} as difference"),
-)
-def _(spark, folder):
-    out = feeds.difference_map(calibrated(spark, folder), "FiveFifteen_v_Lowell")
-    return _shown(out.withColumnRenamed("FiveFifteen_v_Lowell", "difference"), "difference")
+    @register(
+        f"address_station_difference_all{tag}",
+        address_sql(["FiveFifteen_v_Lowell"], f"{r('FiveFifteen_v_Lowell')} as difference"),
+    )
+    def _(spark, folder):
+        out = feeds.difference_map(calibrated(spark, folder, suffix), "FiveFifteen_v_Lowell")
+        return _shown(out.withColumnRenamed("FiveFifteen_v_Lowell", "difference"), "difference")
 
+    @register(
+        f"address_hq_difference{tag}",
+        address_sql(["HQ_v_Lowell"], f"{r('HQ_v_Lowell')} as difference", "unit = 'U1'"),
+    )
+    def _(spark, folder):
+        out = feeds.difference_map(calibrated(spark, folder, suffix), "HQ_v_Lowell", unit="U1")
+        return _shown(out.withColumnRenamed("HQ_v_Lowell", "difference"), "difference")
 
-@register(
-    "address_hq_difference",
-    _address_sql(["HQ_v_Lowell"], f"{r('HQ_v_Lowell')} as difference", "unit = 'U1'"),
-)
-def _(spark, folder):
-    out = feeds.difference_map(calibrated(spark, folder), "HQ_v_Lowell", unit="U1")
-    return _shown(out.withColumnRenamed("HQ_v_Lowell", "difference"), "difference")
+    @register(
+        f"faster_flag{tag}",
+        address_sql(
+            ["FiveFifteen_v_Lowell"],
+            f"{r('FiveFifteen_v_Lowell')} as difference, "
+            f"{_flag('FiveFifteen_v_Lowell', 0)} as faster",
+            "unit = 'U1'",
+        ),
+    )
+    def _(spark, folder):
+        out = feeds.difference_map(calibrated(spark, folder, suffix), "FiveFifteen_v_Lowell", unit="U1")
+        out = out.withColumnRenamed("FiveFifteen_v_Lowell", "difference")
+        return _shown(out, "difference", flags=("faster",))
 
 
-@register(
-    "faster_flag",
-    _address_sql(
-        ["FiveFifteen_v_Lowell"],
-        f"{r('FiveFifteen_v_Lowell')} as difference, "
-        f"{_flag('FiveFifteen_v_Lowell', 0)} as faster",
-        "unit = 'U1'",
-    ),
-)
-def _(spark, folder):
-    out = feeds.difference_map(calibrated(spark, folder), "FiveFifteen_v_Lowell", unit="U1")
-    out = out.withColumnRenamed("FiveFifteen_v_Lowell", "difference")
-    return _shown(out, "difference", flags=("faster",))
+_register_differences("", CAL)
+_register_differences("_in_traffic", CAL_TRAFFIC)
 
 
 def _raw_time(name: str, column: str, unit: str):
@@ -553,22 +590,29 @@ _raw_time("address_raw_time_hq", "from_HQ", "U1")
 _raw_time("address_raw_time_jw", "from_JoyWashington", "U3")
 
 
-@register(
-    "address_residual",
-    _address_sql(["residual"], f"{r('residual')} as residual"),
-)
-def _(spark, folder):
-    return _shown(feeds.address_means(calibrated(spark, folder), ["residual"]), "residual")
+def _register_residuals(suffix: str, views: list[str]) -> None:
+    tag = "_traffic" if suffix else ""
+    address_sql = partial(_address_sql, views=views)
+
+    @register(
+        f"address_residual{tag}",
+        address_sql(["residual"], f"{r('residual')} as residual"),
+    )
+    def _(spark, folder):
+        return _shown(feeds.address_means(calibrated(spark, folder, suffix), ["residual"]), "residual")
+
+    @register(
+        f"scale_censor{tag}",
+        address_sql(
+            ["residual"], f"{r('case when residual between -3 and 3 then residual end')} as residual"
+        ),
+    )
+    def _(spark, folder):
+        from firstdue.functions.labels import censor
 
+        out = feeds.address_means(calibrated(spark, folder, suffix), ["residual"])
+        return _shown(out.withColumn("residual", censor(F.col("residual"), -3, 3)), "residual")
 
-@register(
-    "scale_censor",
-    _address_sql(
-        ["residual"], f"{r('case when residual between -3 and 3 then residual end')} as residual"
-    ),
-)
-def _(spark, folder):
-    from firstdue.functions.labels import censor
 
-    out = feeds.address_means(calibrated(spark, folder), ["residual"])
-    return _shown(out.withColumn("residual", censor(F.col("residual"), -3, 3)), "residual")
+_register_residuals("", CAL)
+_register_residuals("_in_traffic", CAL_TRAFFIC)

@@ -8,13 +8,18 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from firstdue.functions.dates import parse_received, wall_clock, with_date_parts
 from firstdue.functions.labels import ambiguous_address, bad_geocode, not_fallback_point
 from firstdue.functions.nulls import is_in, not_in
+from firstdue.functions.student import t_p_value
 from firstdue.operators import columns, distributions, geocoding, indicators, sampling
 from firstdue.operators.indicators import critical_first_responses
-from firstdue.operators.responses import first_arrivals
+from firstdue.operators.quantiles import group_quantiles
+from firstdue.operators.responses import (
+    build_responses, drop_blank_incidents, first_arrivals, with_first_arrival,
+)
 from firstdue.operators.significance import with_welch_p_value
-from firstdue.plans.checks import r, register, rounded, sql
+from firstdue.plans.checks import r, register, rounded, sql, t_tail_sql
 from firstdue.sources import adapters as A
-from firstdue.sources.files import read_csv, write_csv
+from firstdue.sources import tables
+from firstdue.sources.files import read_csv, save_responses, write_csv
 from firstdue.session import work_dir
 
 KEY = ", ".join(A.RESPONSE_KEY)
@@ -43,8 +48,6 @@ def _(spark, folder):
 def _(spark, folder):
     # Text keys: the flag then needs the look-up on trimmed keys.
     text = F.col("incident_id").cast("string")
-    from firstdue.operators.responses import with_first_arrival
-
     first = first_arrivals(
         A.arrivals(spark, folder).withColumn("incident_id", text), tie_break=A.TIE_BREAK
     )
@@ -67,6 +70,107 @@ def _(spark, folder):
     return rounded(fd, "lon", "lat", "first_resp")
 
 
+@register(
+    "master_table_text_keys",
+    sql("select concat(' ', incident_id, ' ') as incident_id, concat(unit, ' ') as unit, "
+        "line, part, supp, cents, "
+        f"first_unit, {r('first_resp')} as first_resp, is_first from fd"),
+)
+def _(spark, folder):
+    # Text keys with blanks around them: the join takes them as they are, the flag trims.
+    text = F.concat(F.lit(" "), F.col("incident_id").cast("string"), F.lit(" "))
+    first = first_arrivals(
+        A.arrivals(spark, folder).withColumn("incident_id", text), tie_break=A.TIE_BREAK
+    )
+    activity = A.activity(spark, folder).withColumns(
+        {"incident_id": text, "unit": F.concat("unit", F.lit(" "))}
+    )
+    fd = with_first_arrival(activity, first).select(
+        *A.RESPONSE_KEY, "unit", "first_unit", "first_resp", "is_first"
+    )
+    return rounded(fd, "first_resp")
+
+
+@register(
+    "named_incidents",
+    "select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_orderkey % 7 <> 0",
+)
+def _(spark, folder):
+    # A seventh of the incidents blank, as in feeds with unnumbered calls.
+    lines = A.raw(spark, folder, "lineitem")
+    blank = F.when(F.col("l_orderkey") % 7 == 0, " ").otherwise(F.col("l_orderkey").cast("string"))
+    named = drop_blank_incidents(lines.withColumn("incident_id", blank))
+    return named.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@register(
+    "feed_tables",
+    f"""
+select 'arrivals' as feed, cast(l_orderkey as varchar) as key,
+  concat('U', cast(l_suppkey % 8 as varchar)) as name, {r('l_extendedprice / 10000')} as x,
+  null::double as y from lineitem
+union all select 'activity', cast(o_orderkey as varchar), o_orderpriority, null, null from orders
+union all select 'locations', cast(vec_id as varchar), concat(cast(vec_id as varchar),
+  ' MAIN ST{A.TOWN}'), {r('-71.10 + 0.1 * cast(embedding[1] as double)')},
+  {r('42.3875 + 0.1 * cast(embedding[2] as double)')} from embeddings
+""",
+)
+def _(spark, folder):
+    # Feeds as their writers leave them: other order, row names, further columns.
+    arrivals = A.arrivals(spark, folder).select(
+        F.col("line").alias("X"), F.col("resp_time").alias("Resp.Time"),
+        F.col("unit").alias("Unit"), F.col("incident_id").alias("Incnum"),
+    )
+    activity = A.raw(spark, folder, "orders").select(
+        F.lit("").alias("Date.Time.Received"), F.col("o_orderpriority").alias("Nature.of.Call"),
+        F.lit("U1").alias("Unit"), F.col("o_orderkey").alias("CAD.inc.Number"),
+    )
+    places = A.locations(spark, folder).select(
+        F.lit(1).alias("X"), F.col("lat"), F.col("addr_id").alias("IncNum"),
+        F.col("full_address").alias("Full.Address"), F.lit(2).alias("n"), F.col("lon"),
+    )
+
+    def back(feed, name, schema, names):
+        path = work_dir(spark, name)
+        write_csv(feed, path)
+        return read_csv(spark, path, schema, names)
+
+    none = F.lit(None).cast("double")
+    read = back(arrivals, "arrivals", tables.ARRIVALS, tables.ARRIVALS_NAMES)
+    out = read.select(
+        F.lit("arrivals").alias("feed"), F.col("incident_id").alias("key"),
+        F.col("unit").alias("name"), F.col("resp_time").alias("x"), none.alias("y"),
+    )
+    read = back(activity, "activity", tables.ACTIVITY, tables.ACTIVITY_NAMES)
+    out = out.union(read.select(F.lit("activity"), "incident_id", "nature", none, none))
+    read = back(places, "locations", tables.LOCATIONS, tables.LOCATIONS_NAMES)
+    out = out.union(read.select(F.lit("locations"), "incident_id", "full_address", "lon", "lat"))
+    return rounded(out, "x", "y")
+
+
+@register(
+    "stored_report",
+    sql(
+        f"select unit, {r('quantile_cont(resp_time, 0.5)')} as median, count(*) as n from ust "
+        "where year = '1997' group by unit"
+    ),
+)
+def _(spark, folder):
+    # Feeds, clean, fact, dates, store; the report reads its year's folder alone.
+    received = A.received(spark, folder)
+    activity = drop_blank_incidents(A.activity(spark, folder).drop("year", "date_short"))
+    fact = build_responses(
+        activity.join(received, "incident_id"), A.arrivals(spark, folder),
+        A.locations(spark, folder), location_key="addr_id", tie_break=A.TIE_BREAK,
+    )
+    dated = with_date_parts(fact.withColumn("ts", parse_received("received_text")), "ts")
+    path = work_dir(spark, "responses")
+    save_responses(dated, path)
+    rows = spark.read.parquet(path).filter(F.col("year") == "1997")
+    report = group_quantiles(rows, ["unit"], "resp_time", {"median": 0.5}, {"n": "rows"})
+    return rounded(report, "median")
+
+
 @register(
     "csv_roundtrip",
     "select l_orderkey as incident_id, concat('U', cast(l_suppkey % 8 as varchar)) as unit, "
@@ -610,9 +714,30 @@ def _(spark, folder):
     return rounded(_welch(spark, folder), "mean1", "mean2", "std_error", "t", "df")
 
 
-@register("welch_p_value")
+# The limits are checked by what they mean: the probability beyond half their distance in
+# standard errors is 5 %.
+WELCH_SHOWN = ("mean1", "mean2", "std_error", "t", "df")
+
+
+@register(
+    "welch_p_value",
+    sql(
+        "select n1, n2, "
+        + ", ".join(f"{r(c)} as {c}" for c in WELCH_SHOWN)
+        + f", {r(t_tail_sql('t', 'df'))} as p_value, {r('mean1 - mean2')} as middle, "
+        f"0.05::double as outside from ({WELCH})"
+    ),
+)
 def _(spark, folder):
-    return with_welch_p_value(_welch(spark, folder))
+    found = with_welch_p_value(_welch(spark, folder))
+    margin = (F.col("conf_high") - F.col("conf_low")) / 2
+    found = found.withColumns(
+        {
+            "middle": (F.col("conf_high") + F.col("conf_low")) / 2,
+            "outside": t_p_value(margin / F.col("std_error"), F.col("df")),
+        }
+    ).drop("conf_low", "conf_high")
+    return rounded(found, *WELCH_SHOWN, "p_value", "middle", "outside")
 
 
 SAMPLE_KEY = "concat_ws('|', 124, incident_id, line, part, supp, cents)"
