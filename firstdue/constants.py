@@ -20,7 +20,7 @@ CRITICAL_NATURES = [
 TRAINING_NATURE = "TRAINING"
 
 # Engine companies.
-ENGINES = ["E1", "E2", "E3", "E6", "E7"]
+ENGINES = ["E3", "E1", "E2", "E6", "E7"]
 
 # Addresses the geocoder is known to place wrongly.
 BAD_ADDRESSES = [

@@ -134,11 +134,6 @@ def with_calibrated_times(
     return rows.withColumns(scaled).drop("__line")
 
 
-def calibrate(df: DataFrame, actual: str = "first_resp", suffix: str = "") -> DataFrame:
-    """Fit on the rows themselves and scale their times."""
-    return with_calibrated_times(df, fit_calibration(df, actual, suffix), suffix)
-
-
 def ratio_without_outliers(
     df: DataFrame, predicted: str, actual: str = "first_resp", below: float = 3.0
 ) -> DataFrame:

@@ -62,10 +62,6 @@ def parse_answers(answers: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def time_columns(stations: Sequence[str], traffic: bool = False) -> list[str]:
-    return [f"from_{s}_in_traffic" if traffic else f"from_{s}" for s in stations]
-
-
 def drive_time_matrix(
     times: DataFrame,
     key: str = "full_address",

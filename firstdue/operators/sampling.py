@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -36,29 +37,39 @@ def seeded_sample(
     return sample.filter(checked.scalar()) if n else sample
 
 
-def with_row_number(df: DataFrame, key: str, name: str, pieces: int = 64) -> DataFrame:
+def with_row_number(df: DataFrame, key: str, name: str, pieces: int | None = None) -> DataFrame:
     """Number the rows 1, 2, … in order of a distinct ``key``.
 
     One window over everything would sort the table in one task. Instead
-    ``pieces`` key values, picked by hash, cut the key range; rows are numbered
-    within their piece and shifted by the size of the pieces before it. The cut
-    values follow from the data, so a lost task recomputes the same numbers.
+    ``pieces`` key values (by default as many as there are shuffle partitions), picked by hash,
+    cut the key range; rows are numbered within their piece and shifted by the size of the pieces
+    before it. The cut values follow from the data, so a lost task recomputes the same numbers.
+    A row finds its piece in two steps, among every ``step``-th cut and then among ``step`` cuts.
     """
+    pieces = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = max(1, math.isqrt(pieces))
     cuts = (
         df.select(key)
+        .filter(F.col(key).isNotNull())
         .orderBy(F.xxhash64(key), key)
         .limit(pieces)
-        .agg(F.array_sort(F.collect_list(key)).alias("cuts"))
+        .agg(F.array_sort(F.collect_set(key)).alias("cuts"))
     )
-    placed = df.withColumn("__cuts", cuts.scalar())
+    coarse = F.filter("cuts", lambda _, i: i % step == 0)
+    both = cuts.select(F.struct("cuts", coarse.alias("coarse")).alias("both"))
+    placed = df.withColumn("__cuts", both.scalar())
+    block = F.size(F.filter("__cuts.coarse", lambda c: c <= F.col(key)))
+    placed = placed.withColumn("__block", block)
+    near = F.slice("__cuts.cuts", (F.greatest(F.col("__block"), F.lit(1)) - 1) * step + 1, step)
+    inside = F.size(F.filter(near, lambda c: c <= F.col(key)))
     # Missing keys make the last piece.
-    piece = F.when(
-        F.col(key).isNotNull(), F.size(F.filter("__cuts", lambda c: c <= F.col(key)))
-    ).otherwise(pieces + 1)
-    placed = placed.withColumn("__piece", piece).drop("__cuts")
-    # At most pieces + 2 sizes: they come back as one small map, not by a join.
+    piece = F.when(F.col(key).isNull(), pieces + 1).when(F.col("__block") == 0, 0).otherwise(
+        (F.col("__block") - 1) * step + inside
+    )
+    placed = placed.withColumn("__piece", piece).drop("__cuts", "__block")
     sizes = placed.groupBy("__piece").agg(F.count(F.lit(1)).alias("__size"))
     before = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    # At most pieces + 2 sizes: they come back as one small map, not by a join.
     starts = sizes.select(
         F.struct("__piece", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
         .alias("__entry")

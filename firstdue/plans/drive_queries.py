@@ -429,6 +429,8 @@ def _(spark, folder):
 
 # Per-address feeds --------------------------------------------------------------
 
+#: Addresses of the test tables have an id besides their text.
+ADDRESS = {"address": ("addr_id", "full_address")}
 POINT = "min_by(lon, incident_id) as lon, min_by(lat, incident_id) as lat"
 POINT_COLUMNS = f"{r('lon')} as lon, {r('lat')} as lat"
 
@@ -464,7 +466,7 @@ def _shown(df, *values: str, flags: tuple[str, ...] = ()):
     _address_sql(SCENARIOS, ", ".join(f"{r(s)} as {s}" for s in SCENARIOS)),
 )
 def _(spark, folder):
-    return _shown(feeds.address_means(calibrated(spark, folder), list(SCENARIOS)), *SCENARIOS)
+    return _shown(feeds.address_means(calibrated(spark, folder), list(SCENARIOS), **ADDRESS), *SCENARIOS)
 
 
 @register(
@@ -473,7 +475,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     rows = calibrated(spark, folder, "_in_traffic")
-    return _shown(feeds.address_means(rows, list(SCENARIOS)), *SCENARIOS)
+    return _shown(feeds.address_means(rows, list(SCENARIOS), **ADDRESS), *SCENARIOS)
 
 
 def _register_scenario_flags(suffix: str, views: list[str]) -> None:
@@ -485,7 +487,7 @@ def _register_scenario_flags(suffix: str, views: list[str]) -> None:
         address_sql(["JW_and_Lowell"], f"{_band('JW_and_Lowell')} as band"),
     )
     def _(spark, folder):
-        out = feeds.scenario_map(calibrated(spark, folder, suffix), "JW_and_Lowell")
+        out = feeds.scenario_map(calibrated(spark, folder, suffix), "JW_and_Lowell", **ADDRESS)
         return _shown(out, flags=("band",))
 
     @register(
@@ -496,7 +498,7 @@ def _register_scenario_flags(suffix: str, views: list[str]) -> None:
         ),
     )
     def _(spark, folder):
-        out = feeds.scenario_map(calibrated(spark, folder, suffix), "FiveFifteen_alone")
+        out = feeds.scenario_map(calibrated(spark, folder, suffix), "FiveFifteen_alone", **ADDRESS)
         out = out.withColumnRenamed("FiveFifteen_alone", "minutes")
         return _shown(out, "minutes", flags=("under_five",))
 
@@ -513,7 +515,7 @@ _register_scenario_flags("_in_traffic", CAL_TRAFFIC)
 )
 def _(spark, folder):
     # The actual time needs no drive times beyond the rows that have them.
-    out = feeds.actual_map(A.timed_responses(spark, folder))
+    out = feeds.actual_map(A.timed_responses(spark, folder), **ADDRESS)
     return _shown(out, "first_resp", flags=("under_five",))
 
 
@@ -531,14 +533,14 @@ def _register_differences(suffix: str, views: list[str]) -> None:
     )
     def _(spark, folder):
         values = ["JW_v_FiveFifteen", "JW_v_Lowell"]
-        return _shown(feeds.address_means(calibrated(spark, folder, suffix), values, unit="U3"), *values)
+        return _shown(feeds.address_means(calibrated(spark, folder, suffix), values, **ADDRESS, unit="U3"), *values)
 
     @register(
         f"address_station_difference_all{tag}",
         address_sql(["FiveFifteen_v_Lowell"], f"{r('FiveFifteen_v_Lowell')} as difference"),
     )
     def _(spark, folder):
-        out = feeds.difference_map(calibrated(spark, folder, suffix), "FiveFifteen_v_Lowell")
+        out = feeds.difference_map(calibrated(spark, folder, suffix), "FiveFifteen_v_Lowell", **ADDRESS)
         return _shown(out.withColumnRenamed("FiveFifteen_v_Lowell", "difference"), "difference")
 
     @register(
@@ -546,7 +548,7 @@ def _register_differences(suffix: str, views: list[str]) -> None:
         address_sql(["HQ_v_Lowell"], f"{r('HQ_v_Lowell')} as difference", "unit = 'U1'"),
     )
     def _(spark, folder):
-        out = feeds.difference_map(calibrated(spark, folder, suffix), "HQ_v_Lowell", unit="U1")
+        out = feeds.difference_map(calibrated(spark, folder, suffix), "HQ_v_Lowell", **ADDRESS, unit="U1")
         return _shown(out.withColumnRenamed("HQ_v_Lowell", "difference"), "difference")
 
     @register(
@@ -559,7 +561,7 @@ def _register_differences(suffix: str, views: list[str]) -> None:
         ),
     )
     def _(spark, folder):
-        out = feeds.difference_map(calibrated(spark, folder, suffix), "FiveFifteen_v_Lowell", unit="U1")
+        out = feeds.difference_map(calibrated(spark, folder, suffix), "FiveFifteen_v_Lowell", **ADDRESS, unit="U1")
         out = out.withColumnRenamed("FiveFifteen_v_Lowell", "difference")
         return _shown(out, "difference", flags=("faster",))
 
@@ -579,7 +581,7 @@ def _raw_time(name: str, column: str, unit: str):
         ),
     )
     def _(spark, folder):
-        out = feeds.raw_time_map(A.timed_responses(spark, folder), column, unit)
+        out = feeds.raw_time_map(A.timed_responses(spark, folder), column, unit, **ADDRESS)
         return _shown(
             out.withColumnRenamed(column, "minutes"), "minutes", flags=("under_five",)
         )
@@ -599,7 +601,7 @@ def _register_residuals(suffix: str, views: list[str]) -> None:
         address_sql(["residual"], f"{r('residual')} as residual"),
     )
     def _(spark, folder):
-        return _shown(feeds.address_means(calibrated(spark, folder, suffix), ["residual"]), "residual")
+        return _shown(feeds.address_means(calibrated(spark, folder, suffix), ["residual"], **ADDRESS), "residual")
 
     @register(
         f"scale_censor{tag}",
@@ -610,7 +612,7 @@ def _register_residuals(suffix: str, views: list[str]) -> None:
     def _(spark, folder):
         from firstdue.functions.labels import censor
 
-        out = feeds.address_means(calibrated(spark, folder, suffix), ["residual"])
+        out = feeds.address_means(calibrated(spark, folder, suffix), ["residual"], **ADDRESS)
         return _shown(out.withColumn("residual", censor(F.col("residual"), -3, 3)), "residual")
 
 

@@ -13,22 +13,26 @@ from firstdue.functions.labels import minutes_band, under_limit
 def address_means(
     rows: DataFrame,
     values: Sequence[str],
-    address: Sequence[str] = ("addr_id", "full_address"),
-    order: str = "incident_id",
+    address: Sequence[str] = ("full_address",),
+    order: Sequence[str] = ("incident_id",),
     unit: str | None = None,
 ) -> DataFrame:
     """Rows, means and first point per address, optionally of one unit.
 
-    The first point is the one of the lowest ``order``. All aggregates combine
+    The first point is the one of the lowest ``order``; among equal ones, or one with a missing
+    coordinate, the lowest point that has both. All aggregates combine
     before the shuffle, so an address with very many calls stays one row per task.
     """
     if unit is not None:
         rows = rows.filter(F.col("unit") == unit)
+    placed = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    first = F.struct(*order, "lon", "lat")
     return rows.groupBy(*address).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(v).alias(v) for v in values],
-        F.min_by("lon", order).alias("lon"),
-        F.min_by("lat", order).alias("lat"),
+        F.min(F.when(placed, first)).alias("__first"),
+    ).select(
+        *address, "n", *values, F.col("__first.lon").alias("lon"), F.col("__first.lat").alias("lat")
     )
 
 
