@@ -178,16 +178,21 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     ``plan_mix`` for missing values, ties and repeated rows.
     """
     plan = plan_mix(documents, whole=True, **options).filter("taken > 0")
-    # Rows with the same id and text share a key: pair them off by rank.
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("position"))
+    # Rows with the same id, text and source share a key: pair them off by rank.
+    same = [*KEY, "__source"]
+    plan = plan.withColumn("__source", _source_key(F.col("source")))
+    rank = F.row_number().over(Window.partitionBy(*same).orderBy("position"))
     wanted = plan.withColumn("__rank", rank).select(
-        *KEY, "__rank", "position",
+        *same, "__rank", "position",
         F.size(F.filter("copies", lambda c: c > 0)).alias("__copies"),
     )
-    numbered = documents.select(*row_key(), F.struct(*documents.columns).alias("__row"))
-    same = Window.partitionBy(*KEY).orderBy(F.lit(0))
-    numbered = numbered.withColumn("__rank", F.row_number().over(same))
-    chosen = numbered.join(wanted, [*KEY, "__rank"])
+    numbered = documents.select(
+        *row_key(), _source_key(F.col("source").cast("string")).alias("__source"),
+        F.struct(*documents.columns).alias("__row"),
+    )
+    order = Window.partitionBy(*same).orderBy(F.lit(0))
+    numbered = numbered.withColumn("__rank", F.row_number().over(order))
+    chosen = numbered.join(wanted, [*same, "__rank"])
     copies = chosen.withColumn("__turn", F.explode(F.sequence(F.lit(1), "__copies")))
     ordered = copies.repartitionByRange("position", "__id", "__hash").sortWithinPartitions(
         "position", "__id", "__hash"
