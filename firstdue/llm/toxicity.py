@@ -1,11 +1,11 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the beginnings of words that mark toxic texts among a bounded
-sample of labelled rows (log-likelihood ratio); their document frequencies are counted over
+Terms are words, the beginnings of words, and either of them met often in a text; those that mark
+toxic texts are chosen on a bounded sample of labelled rows (log-likelihood ratio); their document frequencies are counted over
 all documents. The examples' unit vectors stand in an inverted index whose posting lists
 are cut into blocks of ``BLOCK`` examples, each with the largest weight in it. A query
-adds up the block maxima of its terms, visits blocks from the highest bound down, and stops
-when no bound reaches the k-th similarity: the result is that of comparing all.
+adds up the block maxima of its terms, reads the blocks with the highest bounds first, and then
+only those whose bound reaches the k-th similarity: the result is that of comparing all.
 
 Neighbours vote with weights that fall with distance. Votes of the examples themselves, each
 left out in turn, are turned into probabilities by monotone regression.
@@ -15,23 +15,33 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firstdue.llm.text import KEY, row_key
 
+# Ship these functions with the task: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Labelled rows that the model is fitted on, at most, and terms it knows, at most.
 SAMPLE_ROWS, MAX_TERMS = 20_000, 1024
-#: A term must be in so many sample rows and mark toxic ones with so high a G statistic.
-MIN_ROWS, MIN_G = 4, 15.0
-NEIGHBOURS, BLOCK, EVIDENCE = 15, 64, 3
-PREFIXES = (4, 5, 6)
+#: A term must be in so many sample rows, so many of which are toxic, and mark these with so
+#: high a G statistic.
+MIN_ROWS, MIN_SHARE, MIN_G = 4, 0.5, 15.0
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, EVIDENCE = 15, 64, 3, 3
+HEAD = 4
+PREFIXES = (4, 5, 6, 7, 8)
+DENSE, DENSE_WORDS = "+", 100
+#: Results that a task remembers.
+KNOWN_COUNTS = 10_000
 CHUNK = 1 << 20
 _WORD, _SPACE = re.compile(r"[^\W_]+"), re.compile(r"\s")
 #: Similarities this close count as equal, so that the order of sums does not decide.
@@ -53,9 +63,25 @@ def _terms_of(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in PREFIXES if len(word) > n)]
 
 
-def _all_terms(text: str) -> set[str]:
-    words = {w for part in _words(text) for w in part}
-    return {t for w in words for t in _terms_of(w)}
+def _terms(words: Mapping[str, int], total: int) -> dict[str, int]:
+    """Counts of the terms of a text with so many words in all.
+
+    A term that is met at least twice, and once in ``DENSE_WORDS`` words, is a further term:
+    a text about which it says more than that it occurs.
+    """
+    counts: Counter[str] = Counter()
+    for word, n in words.items():
+        for term in _terms_of(word):
+            counts[term] += n
+    dense = {t + DENSE: n for t, n in counts.items() if n >= 2 and n * DENSE_WORDS >= total}
+    return {**counts, **dense}
+
+
+def _all_terms(text: str) -> Iterable[str]:
+    words: Counter[str] = Counter()
+    for part in _words(text):
+        words.update(part)
+    return _terms(words, words.total())
 
 
 class Vocabulary:
@@ -64,18 +90,15 @@ class Vocabulary:
     def __init__(self, terms: Sequence[str]) -> None:
         self.number = {t: i for i, t in enumerate(terms)}
         # No known term begins otherwise, so nearly all words are passed over at once.
-        self.heads = {t.removeprefix("^")[:4] for t in terms}
+        self.heads = {t.removeprefix("^").removesuffix(DENSE)[:HEAD] for t in terms}
 
     def count(self, text: str) -> dict[int, int]:
-        heads, counts = self.heads, Counter()
+        heads, words, total = self.heads, Counter(), 0
         for part in _words(text):
-            counts.update(w for w in part if w[:4] in heads)
-        terms: Counter[int] = Counter()
-        for word, n in counts.items():
-            for term in _terms_of(word):
-                if (i := self.number.get(term)) is not None:
-                    terms[i] += n
-        return dict(sorted(terms.items()))
+            total += len(part)
+            words.update(w for w in part if w[:HEAD] in heads)
+        found = _terms(words, total)
+        return dict(sorted((self.number[t], n) for t, n in found.items() if t in self.number))
 
 
 @dataclass
@@ -115,29 +138,44 @@ class Index:
             cuts, members, weights, highest,
         )
 
+    def _similarities(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Similarities of the examples of some blocks, from the postings in them."""
+        starts = self.cuts[terms][:, blocks].ravel()
+        sizes = self.cuts[terms][:, blocks + 1].ravel() - starts
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])
+        weights = self.weights[at] * np.repeat(np.repeat(q, len(blocks)), sizes)
+        return np.bincount(self.members[at], weights, len(self.labels))
+
     def nearest(self, vector: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples with the highest similarity above 0, equal ones by place."""
+        """The k examples with the highest similarity above 0, equal ones by place.
+
+        The blocks with the highest bounds are read first. Their k-th similarity then rules out
+        every block whose bound is lower; the rest is read in one step.
+        """
         terms = np.fromiter(vector, np.int64, len(vector))
         q = np.fromiter(vector.values(), float, len(vector))
         bounds = q @ self.highest[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.lexsort((np.arange(len(bounds)), -np.round(bounds, 9))):
-            if bounds[b] <= 0:
-                break
-            if len(best) == k:
-                low, at = -best[-1][0], best[-1][1]
-                if bounds[b] < low - CLOSE:
-                    break
-                if bounds[b] <= low + CLOSE and b * BLOCK > at:
-                    continue
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms, q, strict=True):
-                part = slice(self.cuts[t, b], self.cuts[t, b + 1])
-                sums[self.members[part] - b * BLOCK] += w * self.weights[part]
-            found = np.flatnonzero(sums > 0)
-            best += [(-round(float(sums[i]), 9), int(b * BLOCK + i)) for i in found if b * BLOCK + i != skip]
-            best = sorted(best)[:k]
-        return [(-s, at) for s, at in best]
+        order = np.lexsort((np.arange(len(bounds)), -np.round(bounds, 9)))
+        order = order[bounds[order] > 0]
+        first, rest = order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]
+        found: list[tuple[float, int]] = []
+        for blocks in (first, rest):
+            if len(found) == k:
+                low = found[-1][0] - CLOSE
+                blocks = blocks[bounds[blocks] >= low]
+            if not len(blocks):
+                continue
+            sums = np.round(self._similarities(terms, q, blocks), 9)
+            if skip >= 0:
+                sums[skip] = 0
+            hits = np.flatnonzero(sums > 0)
+            if len(hits) > k:
+                hits = hits[sums[hits] >= np.partition(sums[hits], -k)[-k]]
+                hits = hits[np.argsort(-sums[hits], kind="stable")[:k]]
+            found += [(float(sums[i]), int(i)) for i in hits]
+            found = sorted(found, key=lambda f: (-f[0], f[1]))[:k]
+        return found
 
 
 def _vote(near: Sequence[tuple[float, int]], labels: np.ndarray) -> float:
@@ -181,8 +219,8 @@ class Model:
         # Between steps on a line, so that a higher vote is a higher score.
         return float(np.interp(vote, uppers, shares)) if uppers else vote
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        counts = self.vocabulary.count(text or "")
+    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
+        """Score of a text with these counts of known terms, and its nearest examples."""
         if not counts or self.index is None:
             return self.otherwise, []
         near = self.index.nearest(self.vector(counts), NEIGHBOURS)
@@ -249,7 +287,8 @@ def fit(
     counts = sample.mapInArrow(terms, "term string, n long, a long").groupBy("term").agg(
         F.sum("n").alias("n"), F.sum("a").alias("a")
     )
-    marked = counts.filter(F.col("n") >= MIN_ROWS).select(
+    marking = (F.col("n") >= MIN_ROWS) & (F.col("a") >= MIN_SHARE * F.col("n"))
+    marked = counts.filter(marking).select(
         "term", _log_ratio(F.col("a"), F.col("n"), toxic, rows).alias("g")
     )
     best = marked.filter(F.col("g") >= MIN_G).orderBy(F.desc("g"), "term").limit(max_terms)
@@ -310,19 +349,25 @@ def score_toxicity(documents: DataFrame, model: Model) -> DataFrame:
     ``evidence`` lists the nearest examples (doc_id as text, similarity, toxic). Only the text
     is read. Missing and empty texts, and texts without known terms, get the share of toxic
     examples among such texts. Texts are read whole; repeated rows each get their row;
-    an empty table gives an empty one; other columns are ignored.
+    an empty table gives an empty one; other columns are ignored. The model goes along with
+    the tasks; its size is bounded by the sample and the vocabulary.
     """
     rows = documents.select(*row_key(), "doc_id", "text")
-    # The model is bounded by the sample and the vocabulary.
-    shared = documents.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        # Copies, and texts with a chance term or two, have the same counts.
+        known: dict[tuple, tuple] = {}
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column("text"):
-                score, near = model.score(text.as_py())
+                counts = model.vocabulary.count(text.as_py() or "")
+                key = tuple(counts.items())
+                if key not in known:
+                    if len(known) >= KNOWN_COUNTS:
+                        known.clear()
+                    known[key] = model.score(counts)
+                score, near = known[key]
                 scores.append(score)
                 evidence.append([
                     {"doc_id": model.index.ids[at], "similarity": s, "toxic": int(model.index.labels[at])}
