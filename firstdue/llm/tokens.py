@@ -2,9 +2,9 @@
 
 The ids of all documents are counted, code lengths of at most ``MAX_BITS`` bits follow from
 the counts by package-merge, and codes are assigned in the order of (length, id), so
-the lengths alone are the code table. A document is one byte-aligned run of codes with
-marks: the bit offset of every ``interval``-th id. From each mark a block can be decoded
-by itself; the decoder walks all blocks of a batch side by side, one table look-up per id.
+the lengths alone are the code table. A document is a row of blocks of ``interval`` ids, each
+padded to whole bytes, with marks: the bit offset of every block. Blocks are decoded independently;
+the decoder walks many side by side, one table look-up per id.
 
 A corpus folder holds ``codes`` (id, n, length, interval) and ``documents`` (shard, doc_id, n_tokens,
 marks, bits). Shards are ranges of doc_id in ascending order.
@@ -12,36 +12,97 @@ marks, bits). Shards are ranges of doc_id in ascending order.
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firstdue.session import work_dir
 
+# Ship these functions with the task: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_BITS = 16
 INTERVAL = 1024
-#: Text that a task tokenises at a time; words, and bytes of words, whose ids it remembers
-#: before it starts afresh.
-CHUNK_BYTES, CACHED_WORDS, CACHED_BYTES = 4 << 20, 400_000, 32 << 20
+#: Text that a task tokenises at a time; words, parts of words, and bytes of either, whose ids it
+#: remembers before it starts afresh; words in one call of the library.
+CHUNK_BYTES, CACHED_WORDS, CACHED_PIECES = 1 << 20, 400_000, 250_000
+CACHED_BYTES, CALL_WORDS = 16 << 20, 2048
+#: Blocks that are packed or unpacked at a time.
+BLOCKS = 512
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+# The configuration of tokenizers that this module takes apart.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: The same pattern for lower-cased Latin-1 words.
+PIECE = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
+)
+
+
+def _byte_characters() -> dict[int, str]:
+    """Latin-1 characters as byte-level BPE writes their UTF-8 bytes.
+
+    Printable bytes stand for themselves, the others for the characters from 256 on, in order.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    written = [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+    return {c: "".join(written[b] for b in chr(c).encode()) for c in range(256)}
+
 
-_CACHES: dict = {}
+BYTE_CHARACTERS = _byte_characters()
 
 
 class _WordIds:
     """The ids of words between ASCII white space, each word encoded by the library once.
 
-    The tokenizer's pre-tokens never reach over white space and its normaliser does not
-    compose over it, so the ids of a text are those of its words, in order.
+    For tokenizers with the NORMALIZER and PRE_TOKENIZER below the ids of a text are those of its words,
+    in order: pre-tokens never reach over white space, and normalising does not compose over
+    it. A new word of Latin-1 characters is cut into pre-tokens here and these go to the library's
+    model, each once; other words, and texts under other tokenizers, go to the library as they are.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
+        self.by_word = (config["normalizer"], config["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+        self.special = [t["content"] for t in config["added_tokens"]]
+        self.pieces: dict[str, bytes] = {}
+        self.pieces_held = 0
         self.clear()
 
     def clear(self) -> None:
@@ -51,58 +112,123 @@ class _WordIds:
         self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a pre-token, as native unsigned 32-bit numbers."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= CACHED_PIECES or self.pieces_held > CACHED_BYTES:
+                self.pieces, self.pieces_held = {}, 0
+            found = self.tokenizer.model.tokenize(piece.translate(BYTE_CHARACTERS))
+            ids = array("I", [t.id for t in found]).tobytes()
+            self.pieces[piece] = ids
+            self.pieces_held += len(piece)
+        return ids
+
+    def _simple(self, word: str) -> bool:
+        """Whether a word is all Latin-1, with no white space or special token inside."""
+        if not word.isascii() and (max(word) > "\xff" or "\x85" in word or "\xa0" in word):
+            return False
+        return "<" not in word or not any(t in word for t in self.special)
+
+    def _library(self, texts: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(texts), CALL_WORDS):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + CALL_WORDS], add_special_tokens=False):
+                yield e.ids
+
     def add(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast(
-            [w.decode() for w in words], add_special_tokens=False
-        )
-        ids = [e.ids for e in found]
-        self.held += sum(map(len, words))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        texts = [w.decode() for w in words]
+        piece = self._piece
+        found = [
+            b"".join([piece(p) for p in PIECE.findall(t.lower())]) if self._simple(t) else None
+            for t in texts
+        ]
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(rest, self._library([texts[k] for k in rest]), strict=True):
+            found[k] = array("I", ids).tobytes()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         starts = len(self.ids) + np.cumsum(sizes) - sizes
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        first = len(self.number)
+        self.number.update(zip(words, range(first, first + len(words)), strict=True))
+        self.held += sum(map(len, words))
         self.starts = np.concatenate([self.starts, starts])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, flat])
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and how many each text has."""
-        words: list[bytes] = []
-        counts = []
-        for text in texts:
-            own = text.split()
-            words += own
-            counts.append(len(own))
+    def _ids_of(self, words: list[bytes], bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many fall between neighbouring word ``bounds``."""
         if len(self.number) > CACHED_WORDS or self.held > CACHED_BYTES:
             self.clear()
-        new = list(set(words).difference(self.number))
-        if new:
-            self.add(new)
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            missed = [words[k] for k in unknown.tolist()]
+            self.add(list(dict.fromkeys(missed)))
+            at[unknown] = [self.number[w] for w in missed]
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
-        return self.ids[source], np.diff(bounds)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        source = np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])
+        return self.ids[source], np.diff(ends[bounds])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and how many each text has."""
+        counts = np.zeros(len(texts), np.int64)
+        if not self.by_word:
+            found = [np.array(i, np.uint32) for i in self._library([t.decode() for t in texts])]
+            counts[:] = [len(i) for i in found]
+            return np.concatenate(found) if found else self.ids[:0], counts
+        parts: list[np.ndarray] = []
+        words: list[bytes] = []
+        owners: list[int] = []
+        bounds, size = [0], 0
+
+        def flush() -> None:
+            nonlocal words, owners, bounds, size
+            ids, per = self._ids_of(words, bounds)
+            np.add.at(counts, owners, per)
+            parts.append(ids)
+            words, owners, bounds, size = [], [], [0], 0
+
+        for number, text in enumerate(texts):
+            for piece in _pieces(text):
+                words += piece.split()
+                owners.append(number)
+                bounds.append(len(words))
+                size += len(piece)
+                if size >= CHUNK_BYTES:
+                    flush()
+        if owners:
+            flush()
+        return np.concatenate(parts) if parts else self.ids[:0], counts
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about CHUNK_BYTES that end at white space."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + CHUNK_BYTES) if len(text) - at > CHUNK_BYTES else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 def _word_ids(path: str) -> _WordIds:
-    if path not in _CACHES:
-        _CACHES[path] = _WordIds(path)
-    return _CACHES[path]
+    """The worker's encoder of a tokenizer; it lives as long as the worker does."""
+    # Tasks are the parallelism; threads inside one would share its core.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    # This module's own globals come anew with every task, a registered module stays.
+    name = "_firstdue_encoders"
+    kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if path not in kept:
+        kept[path] = _WordIds(path)
+    return kept[path]
 
 
-def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= CHUNK_BYTES:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``size`` bytes each, or of a row."""
+    rows = max(1, int(len(batch) * size / max(batch.nbytes, 1)))
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
 
 
 def _id_type(vocabulary: int) -> type:
@@ -120,18 +246,16 @@ def tokenize(documents: DataFrame, path: str, end: int, vocabulary: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _word_ids(path)
         for batch in batches:
-            doc, at = batch.column("doc_id"), 0
-            for texts in _groups(batch.column("text").to_pylist()):
-                ids, counts = encoder.encode(texts)
+            for part in _slices(batch, CHUNK_BYTES):
+                ids, counts = encoder.encode(part.column("text").to_pylist())
                 ends = np.cumsum(counts)
                 with_end = np.insert(ids, ends, end).astype(kind)
                 offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
                 yield pa.RecordBatch.from_arrays(
-                    [doc.slice(at, len(texts)), pa.array(counts + 1),
+                    [part.column("doc_id"), pa.array(counts + 1),
                      _binary(offsets * kind.itemsize, with_end.tobytes())],
                     ["doc_id", "n_tokens", "ids"],
                 )
-                at += len(texts)
 
     name = documents.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {name}, n_tokens long, ids binary")
@@ -209,18 +333,29 @@ def canonical_codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(
-    ids: np.ndarray, bounds: np.ndarray, codes: np.ndarray, lengths: np.ndarray,
-    interval: int = INTERVAL,
-):
-    """Codes of several documents: bytes, byte bounds, bit marks and bounds of the marks.
+    ids: np.ndarray, bounds: np.ndarray, codes: np.ndarray, lengths: np.ndarray
+) -> tuple[bytes, np.ndarray]:
+    """Codes of the blocks of ``ids`` between ``bounds``, each from a whole byte on.
 
-    ``bounds`` cuts ``ids`` into documents; each begins at a whole byte.
+    Returns the bytes and the first byte of every block, and of the end. Works through
+    BLOCKS blocks at a time, so memory follows from that and not from a document's length.
     """
+    pieces, firsts, done = [], [np.zeros(1, np.int64)], 0
+    for a in range(0, len(bounds) - 1, BLOCKS):
+        cut = bounds[a : a + BLOCKS + 1]
+        data, at = _pack(ids[cut[0] : cut[-1]].astype(np.int64), cut - cut[0], codes, lengths)
+        pieces.append(data)
+        firsts.append(at[1:] + done)
+        done += len(data)
+    return b"".join(pieces), np.concatenate(firsts)
+
+
+def _pack(ids: np.ndarray, bounds: np.ndarray, codes: np.ndarray, lengths: np.ndarray):
     sizes = lengths[ids]
     ends = np.concatenate([[0], np.cumsum(sizes)])
     bits = ends[bounds[1:]] - ends[bounds[:-1]]
     bytes_at = np.concatenate([[0], np.cumsum((bits + 7) // 8)])
-    # Bit position of every id: within its document, plus the document's first byte.
+    # Bit position of every id: within its block, plus the block's first byte.
     shift = bytes_at[:-1] * 8 - ends[bounds[:-1]]
     at = ends[:-1] + np.repeat(shift, np.diff(bounds))
     words = np.zeros(int(bytes_at[-1]) // 8 + 3, np.uint64)
@@ -237,20 +372,35 @@ def pack(
         over = np.flatnonzero(room < 0)
         # At most one code runs over the end of each word.
         words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-    data = words.astype(">u8").tobytes()[: int(bytes_at[-1])]
-    counts = np.diff(bounds)
-    marks = (counts + interval - 1) // interval
-    mark_bounds = np.concatenate([[0], np.cumsum(marks)])
-    doc = np.repeat(np.arange(len(counts)), marks)
-    nth = np.arange(int(mark_bounds[-1])) - mark_bounds[doc]
-    mark_bits = at[bounds[doc] + nth * interval] - bytes_at[doc] * 8 if len(doc) else doc
-    return data, bytes_at, mark_bits, mark_bounds
+    return words.astype(">u8").tobytes()[: int(bytes_at[-1])], bytes_at
+
+
+def block_bounds(counts: np.ndarray, interval: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of all blocks of documents with so many ids, and of the documents' blocks."""
+    per = (counts + interval - 1) // interval
+    of_docs = np.concatenate([[0], np.cumsum(per)])
+    doc = np.repeat(np.arange(len(counts)), per)
+    nth = np.arange(of_docs[-1]) - of_docs[doc]
+    ends = np.cumsum(counts)
+    starts = (ends - counts)[doc] + nth * interval
+    return np.concatenate([starts, ends[-1:]]), of_docs
 
 
 def unpack(
-    data: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: np.ndarray, lengths: np.ndarray
+    data: np.ndarray, firsts: np.ndarray, counts: np.ndarray, table: np.ndarray, lengths: np.ndarray
 ) -> np.ndarray:
-    """Decode blocks side by side: from bit ``starts`` on, ``counts`` ids each, in order."""
+    """Decode neighbouring blocks from byte ``firsts`` on, ``counts`` ids each, in order."""
+    parts = [np.zeros(0, "<u4")]
+    for a in range(0, len(firsts), BLOCKS):
+        own = firsts[a : a + BLOCKS]
+        end = firsts[a + BLOCKS] if a + BLOCKS < len(firsts) else len(data)
+        ids = _unpack(data[own[0] : end], (own - own[0]) * 8, counts[a : a + BLOCKS], table, lengths)
+        parts.append(ids.astype("<u4"))
+    return np.concatenate(parts)
+
+
+def _unpack(data, starts, counts, table, lengths) -> np.ndarray:
+    """Decode blocks side by side: the n-th id of each, from n = 0 on."""
     width = int(table.size).bit_length() - 1
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint32)
     # Four bytes from any byte on, so that a look-up is one shift of one number.
@@ -295,15 +445,15 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = max(1, int(len(batch) * (16 << 20) / max(batch.nbytes, 1)))
-            for at in range(0, len(batch), rows):
-                part = batch.slice(at, rows)
+            for part in _slices(batch, CHUNK_BYTES):
                 texts = part.column("ids").to_pylist()
-                bounds = np.cumsum([0, *(len(t) // kind.itemsize for t in texts)])
-                ids = np.frombuffer(b"".join(texts), kind).astype(np.int64)
-                data, cuts, marks, mark_cuts = pack(ids, bounds, codes, lengths, interval)
+                n = np.array([len(t) // kind.itemsize for t in texts], np.int64)
+                bounds, of_docs = block_bounds(n, interval)
+                data, firsts = pack(np.frombuffer(b"".join(texts), kind), bounds, codes, lengths)
+                cuts = firsts[of_docs]
+                marks = (firsts[:-1] - np.repeat(cuts[:-1], np.diff(of_docs))) * 8
                 lists = pa.ListArray.from_arrays(
-                    pa.array(mark_cuts.astype(np.int32)), pa.array(marks.astype(np.int64))
+                    pa.array(of_docs.astype(np.int32)), pa.array(marks.astype(np.int64))
                 )
                 yield pa.RecordBatch.from_arrays(
                     [part.column("shard"), part.column("doc_id"), part.column("n_tokens"), lists,
@@ -340,20 +490,18 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = max(1, int(len(batch) * (8 << 20) / max(batch.nbytes, 1)))
-            for at in range(0, len(batch), rows):
-                part = batch.slice(at, rows)
+            for part in _slices(batch, CHUNK_BYTES):
                 texts = part.column("bits").to_pylist()
                 data = np.frombuffer(b"".join(texts), np.uint8)
-                firsts = np.cumsum([0, *map(len, texts)])[:-1] * 8
+                firsts = np.cumsum([0, *map(len, texts)])[:-1]
                 n = part.column("n_tokens").to_numpy()
                 marks = part.column("marks")
                 per = np.diff(marks.offsets.to_numpy())
                 doc = np.repeat(np.arange(len(part)), per)
                 nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
                 counts = np.minimum(n[doc] - nth * interval, interval)
-                starts = firsts[doc] + marks.flatten().to_numpy()
-                ids = unpack(data, starts, counts, table, lengths).astype("<u4")
+                blocks = firsts[doc] + marks.flatten().to_numpy() // 8
+                ids = unpack(data, blocks, counts, table, lengths)
                 cuts = np.concatenate([[0], np.cumsum(n)]) * 4
                 yield pa.RecordBatch.from_arrays(
                     [part.column("shard"), part.column("doc_id"), part.column("n_tokens"),

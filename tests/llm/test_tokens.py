@@ -49,41 +49,61 @@ def test_limited_lengths_of_a_known_case():
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 300), max_size=60), min_size=1, max_size=12), st.integers(1, 9))
-def test_pack_and_unpack(docs, interval):
+@given(st.lists(st.lists(st.integers(0, 300), max_size=60), min_size=1, max_size=12), st.integers(1, 9), st.sampled_from([1, 3, 512]))
+def test_pack_and_unpack(docs, interval, blocks):
+    before, tokens.BLOCKS = tokens.BLOCKS, blocks
     ids = np.array([i for d in docs for i in d], np.int64)
     counts = np.bincount(ids, minlength=301)
     counts = counts * counts * 50 + (counts > 0)
     lengths = tokens.code_lengths(counts)
     codes, table = tokens.canonical_codes(lengths)
-    bounds = np.cumsum([0, *map(len, docs)])
-    data, cuts, marks, mark_cuts = tokens.pack(ids, bounds, codes, lengths, interval)
+    bounds, of_docs = tokens.block_bounds(np.array([len(d) for d in docs]), interval)
+    data, firsts = tokens.pack(ids, bounds, codes, lengths)
     bits = "".join(format(b, "08b") for b in data)
-    for k, d in enumerate(docs):
-        code = "".join(format(int(codes[i]), f"0{lengths[i]}b") for i in d)
-        assert bits[cuts[k] * 8 :].startswith(code) and cuts[k + 1] - cuts[k] == -(-len(code) // 8)
-    per = np.diff(mark_cuts)
-    doc = np.repeat(np.arange(len(docs)), per)
-    nth = np.arange(len(doc)) - mark_cuts[doc]
-    n = np.minimum(np.diff(bounds)[doc] - nth * interval, interval)
-    got = tokens.unpack(np.frombuffer(data, np.uint8), cuts[doc] * 8 + marks, n, table, lengths)
+    for a, b, at in zip(bounds, bounds[1:], firsts, strict=False):
+        code = "".join(format(int(codes[i]), f"0{lengths[i]}b") for i in ids[a:b])
+        assert bits[at * 8 :].startswith(code)
+    assert [bounds[k] for k in of_docs] == np.cumsum([0, *map(len, docs)]).tolist()
+    got = tokens.unpack(np.frombuffer(data, np.uint8), firsts[:-1], np.diff(bounds), table, lengths)
+    tokens.BLOCKS = before
     assert got.tolist() == ids.tolist()
 
 
 PIECES = [" ", "\n", "\x1c", " ", " ", "é", "é", "́", "Σ", "ΑΣ", "'s", "don't",
-          "<|endoftext|>", "<|startoftext|>", "hello", "World", "12", "!?", "İ", "\t\x0b", "字", "😀"]
+          "<|endoftext|>", "<|startoftext|>", "hello", "World", "12", "!?", "İ", "\t\x0b", "字", "😀", "ÄÖ", "ß²", "¼\x85", "\xa0", "×µ", "\xad¡", "\x00\x7f", "'LL", "<|"]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=4)), max_size=25))
-def test_word_by_word_is_the_library_on_the_whole_text(pieces):
+@given(st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=4)), max_size=25), st.sampled_from([1, 7, 1 << 20]))
+def test_word_by_word_is_the_library_on_the_whole_text(pieces, chunk):
     text = "".join(pieces)
     encoder = tokens._word_ids(PATH)
+    before, tokens.CHUNK_BYTES = tokens.CHUNK_BYTES, chunk
     ids, counts = encoder.encode([text.encode(), b"", text.encode()])
+    tokens.CHUNK_BYTES = before
     expected = encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert ids.tolist() == expected + expected and counts.tolist() == [len(expected), 0, len(expected)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=[chr(i) for i in range(256)], max_size=6), max_size=12))
+def test_latin_words_are_cut_like_the_library_does(pieces):
+    encoder = tokens._word_ids(PATH)
+    assert encoder.by_word
+    text = " ".join(pieces)
+    assert encoder.encode([text.encode()])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_read_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = tokens._word_ids(path)
+    texts = ["Two  words\n\n", "", " x"]
+    ids, counts = encoder.encode([t.encode() for t in texts])
+    expected = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not encoder.by_word and ids.tolist() == sum(expected, [])
+    assert counts.tolist() == list(map(len, expected))
+
+
 def expected_index(rows):
     tokenizer, start, out = Tokenizer.from_file(PATH), 0, []
     for doc, text in rows:
