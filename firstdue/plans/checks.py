@@ -47,7 +47,7 @@ def r(expression: str, places: int = 6) -> str:
 
 
 def t_tail_sql(t: str, df: str, steps: int = 20_000) -> str:
-    """Two-sided probability of a t statistic: Simpson's rule on its density from 0 to \|t\|."""
+    """Two-sided probability of a t statistic: Simpson's rule on its density from 0 to its size."""
     at = f"(abs({t}) * i / {steps})"
     weight = f"(case when i = 0 or i = {steps} then 1 when i % 2 = 1 then 4 else 2 end)"
     density = f"pow(1 + {at} * {at} / {df}, -({df} + 1) / 2)"
