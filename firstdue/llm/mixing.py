@@ -3,9 +3,10 @@
 Each source owes the mix a number of words. Its weight schedule over training
 time t in [0, 1] is piecewise linear; the integral from 0 to t, divided by the
 whole integral, is the share of its words that training has asked for by then. A
-document that lies at a cumulative offset in its source's stream is therefore
-trained at the time at which that share reaches the offset: the schedule's
-integral is inverted in closed form, and documents are range-sorted by it.
+copy of a document that lies at a cumulative offset in its source's stream, passes over
+the source before it counted, is therefore trained at the time at which that share reaches
+the offset: the schedule's integral is inverted in closed form, and copies are range-sorted
+by it.
 """
 
 from __future__ import annotations
@@ -94,14 +95,15 @@ def plan_mix(
 ) -> DataFrame:
     """What the mix takes of each row of ``documents`` (doc_id, text, source).
 
-    Returns ``doc_id, source, size, source_size, target, taken, copies, position``
+    Returns ``doc_id, source, size, source_size, target, taken, copies, positions, position``
     and the row key. A source's documents stand in the order of md5(doc_id), then of the
     text, so reruns agree. The stream of a source is its documents, repeated;
     the mix takes the first ``target`` words of it: ``taken`` words of a document, its
     repeats counted. The last document is cut, so sources meet their targets to
     the word; with ``whole`` a copy is taken entirely when its middle lies within the
-    target. ``position`` (0 to 1) is the training time of the first copy, null where
-    nothing is taken.
+    target. ``positions`` has the training time (0 to 1) of each of the ``copies``, null where
+    nothing of it is taken: that at which the source's schedule has asked for the words
+    before the middle of what is taken. ``position`` is the first of them.
 
     Missing texts and texts without words have size 0 and are not taken. A missing
     source is a source of its own, sorted last; a missing doc_id sorts as an empty
@@ -155,14 +157,21 @@ def plan_mix(
 
     copies = [part(turn).cast("long") for turn in range(repeats)]
     taken = sum(copies[1:], copies[0])
-    reached = F.try_divide(offset + F.least(size, limit) / 2, F.col("target"))
-    time = F.lit(None).cast("double")
-    for place, knots in enumerate(schedules):
-        here = F.pmod("place", F.lit(len(schedules))) == place
-        time = F.when(here, _time_of(reached, knots)).otherwise(time)
+
+    def time_of(turn: int) -> Column:
+        words = offset + F.lit(turn) * F.col("source_size") + copies[turn] / 2
+        reached = F.try_divide(words, F.col("target"))
+        time = F.lit(None).cast("double")
+        for place, knots in enumerate(schedules):
+            here = F.pmod("place", F.lit(len(schedules))) == place
+            time = F.when(here, _time_of(reached, knots)).otherwise(time)
+        return F.when(copies[turn] > 0, time)
+
+    times = [time_of(turn) for turn in range(repeats)]
     return placed.select(
         *KEY, "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
-        F.array(*copies).alias("copies"), F.when(taken > 0, time).alias("position"),
+        F.array(*copies).alias("copies"), F.array(*times).alias("positions"),
+        times[0].alias("position"),
     )
 
 
@@ -173,8 +182,8 @@ def _source_key(source: Column) -> Column:
 def mix_documents(documents: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of ``documents`` that the mix takes, in training order.
 
-    Whole copies are taken, a repeated document appears again, and rows are range-sorted by
-    the position of each copy's document; columns are those of ``documents``. See
+    Whole copies are taken, a repeated document appears again at a training time of its own, and
+    rows are range-sorted by it; columns are those of ``documents``. See
     ``plan_mix`` for missing values, ties and repeated rows.
     """
     plan = plan_mix(documents, whole=True, **options).filter("taken > 0")
@@ -183,8 +192,7 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     plan = plan.withColumn("__source", _source_key(F.col("source")))
     rank = F.row_number().over(Window.partitionBy(*same).orderBy("position"))
     wanted = plan.withColumn("__rank", rank).select(
-        *same, "__rank", "position",
-        F.size(F.filter("copies", lambda c: c > 0)).alias("__copies"),
+        *same, "__rank", F.filter("positions", lambda p: p.isNotNull()).alias("__times")
     )
     numbered = documents.select(
         *row_key(), _source_key(F.col("source").cast("string")).alias("__source"),
@@ -193,8 +201,8 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     order = Window.partitionBy(*same).orderBy(F.lit(0))
     numbered = numbered.withColumn("__rank", F.row_number().over(order))
     chosen = numbered.join(wanted, [*same, "__rank"])
-    copies = chosen.withColumn("__turn", F.explode(F.sequence(F.lit(1), "__copies")))
-    ordered = copies.repartitionByRange("position", "__id", "__hash").sortWithinPartitions(
-        "position", "__id", "__hash"
+    copies = chosen.withColumn("__time", F.explode("__times"))
+    ordered = copies.repartitionByRange("__time", "__id", "__hash").sortWithinPartitions(
+        "__time", "__id", "__hash"
     )
     return ordered.select("__row.*")

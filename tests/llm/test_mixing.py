@@ -81,6 +81,50 @@ def test_whole_copies_and_training_order(spark):
     assert per.filter(F.abs(F.col("t") - F.col("want")) > F.col("most") / 2 + 1).count() == 0
 
 
+def asked(t, knots):
+    """Share of a schedule's integral up to ``t``."""
+    def area(end):
+        total = 0.0
+        for (t0, y0), (t1, y1) in zip(knots, knots[1:]):
+            d = max(0.0, min(end, t1) - t0)
+            total += d * (y0 + (y0 + (y1 - y0) * d / (t1 - t0))) / 2
+        return total
+    return area(t) / area(1.0)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_every_copy_follows_its_schedule(spark, monkeypatch, whole):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    rng = random.Random(8)
+    # The weights of a and c are high for their sizes, so both are taken twice.
+    data = [(i, "w " * rng.randrange(1, 30), "abbbbbbc"[i % 8], "x") for i in range(800)]
+    plan = mixing.plan_mix(spark.createDataFrame(data, DOCS), whole=whole).collect()
+    twice = 0
+    for place, source in enumerate("abc"):
+        own = [r for r in plan if r.source == source]
+        copies = sorted(
+            (t, n) for r in own for t, n in zip(r.positions, r.copies, strict=True) if n > 0
+        )
+        target, done = own[0].target, 0
+        for t, n in copies:
+            assert asked(t, mixing.SCHEDULES[place]) * target == pytest.approx(done + n / 2, abs=1)
+            done += n
+        assert abs(done - target) <= 30 and copies[-1][0] > 0.95
+        if target > 1.9 * own[0].source_size:
+            twice += 1
+            assert all(r.positions[0] < r.positions[1] for r in own if r.copies[1])
+    assert twice == 2
+
+
+def test_copies_lie_apart_in_the_mix(spark):
+    data = [(i, "w " * 10, "a" if i < 20 else "b", "x") for i in range(200)]
+    mixed = [r.doc_id for r in mixing.mix_documents(spark.createDataFrame(data, DOCS)).collect()]
+    at = {}
+    for n, doc in enumerate(mixed):
+        at.setdefault(doc, []).append(n)
+    assert all(len(at[i]) == 2 and at[i][1] - at[i][0] > len(mixed) / 5 for i in range(20))
+
+
 def test_time_inverts_the_integral(spark):
     knots = ((0.0, 0.5), (0.6, 1.0), (1.0, 2.0))
     shares_ = [i / 20 for i in range(21)]
