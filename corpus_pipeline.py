@@ -5,8 +5,10 @@ Each stage gets the documents that the one before has written, and decides on it
 1. toxicity: documents predicted toxic go;
 2. SimHash near-dedup: one document of each group stays;
 3. benchmark decontamination: contaminated documents go;
-4. mixing sources to target weights: each source's documents as often as its target says;
-5. token-ID output: documents become token files, and the rows their index.
+4. mixing sources to target weights: each source's documents as often as its target says,
+   each copy with its training time as ``position``;
+5. token-ID output: documents become token files in the order of training, and the rows
+   their index.
 """
 
 from __future__ import annotations
@@ -36,12 +38,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return mixing.mix_documents(docs)
+    return mixing.mix_documents(docs, "position")
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return tokens.token_corpus(docs, public_tokenizers.path(TOKENIZER))
+    return tokens.token_corpus(docs, public_tokenizers.path(TOKENIZER), order="position")
 
 
 STAGES = [

@@ -179,11 +179,12 @@ def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source))
 
 
-def mix_documents(documents: DataFrame, **options) -> DataFrame:
+def mix_documents(documents: DataFrame, position: str | None = None, **options) -> DataFrame:
     """The mixed corpus: the rows of ``documents`` that the mix takes, in training order.
 
     Whole copies are taken, a repeated document appears again at a training time of its own, and
-    rows are range-sorted by it; columns are those of ``documents``. See
+    rows are range-sorted by it; columns are those of ``documents``, and ``position``, if given,
+    is the name of one with that time. See
     ``plan_mix`` for missing values, ties and repeated rows.
     """
     plan = plan_mix(documents, whole=True, **options).filter("taken > 0")
@@ -196,7 +197,7 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     )
     numbered = documents.select(
         *row_key(), _source_key(F.col("source").cast("string")).alias("__source"),
-        F.struct(*documents.columns).alias("__row"),
+        F.struct(*(c for c in documents.columns if c != position)).alias("__row"),
     )
     order = Window.partitionBy(*same).orderBy(F.lit(0))
     numbered = numbered.withColumn("__rank", F.row_number().over(order))
@@ -205,4 +206,4 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     ordered = copies.repartitionByRange("__time", "__id", "__hash").sortWithinPartitions(
         "__time", "__id", "__hash"
     )
-    return ordered.select("__row.*")
+    return ordered.select("__row.*", *([F.col("__time").alias(position)] if position else []))

@@ -52,6 +52,13 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op2_training_order")
+def op2_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The copies that op2's mix takes, as whole documents, in the order of training."""
+    documents = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.mix_documents(documents, "position").select("doc_id", "source", "position")
+
+
 OP3_SQL = f"""
 with items as (
   select item_id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), {_ALNUM}) as w

@@ -235,12 +235,16 @@ def _id_type(vocabulary: int) -> type:
     return np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
 
-def tokenize(documents: DataFrame, path: str, end: int, vocabulary: int) -> DataFrame:
+def tokenize(
+    documents: DataFrame, path: str, end: int, vocabulary: int, order: str | None = None
+) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every row: little-endian ids with ``end`` appended.
 
-    A missing text counts as empty: it has the end id alone.
+    A missing text counts as empty: it has the end id alone. ``order`` names a column that
+    comes along.
     """
-    rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    kept = ["doc_id", *([order] if order else [])]
+    rows = documents.select(*kept, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     kind = np.dtype(_id_type(vocabulary)).newbyteorder("<")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,13 +256,16 @@ def tokenize(documents: DataFrame, path: str, end: int, vocabulary: int) -> Data
                 with_end = np.insert(ids, ends, end).astype(kind)
                 offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts + 1),
+                    [*(part.column(c) for c in kept), pa.array(counts + 1),
                      _binary(offsets * kind.itemsize, with_end.tobytes())],
-                    ["doc_id", "n_tokens", "ids"],
+                    [*kept, "n_tokens", "ids"],
                 )
 
-    name = documents.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {name}, n_tokens long, ids binary")
+    return rows.mapInArrow(run, f"{_types(documents, kept)}, n_tokens long, ids binary")
+
+
+def _types(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def _binary(offsets: np.ndarray, data: bytes) -> pa.Array:
@@ -421,10 +428,12 @@ def _unpack(data, starts, counts, table, lengths) -> np.ndarray:
 
 def write_tokens(
     documents: DataFrame, folder: str, path: str, end: int = 1, limit: int = MAX_BITS,
-    interval: int = INTERVAL,
+    interval: int = INTERVAL, order: str | None = None,
 ) -> str:
     """Tokenise ``documents`` (doc_id, text) and write them to ``folder`` by ascending doc_id.
 
+    ``order`` names a further column that comes before doc_id in that order, such as the training
+    time of a mix; the files then have it as ``place``.
     ``path`` is the tokenizer's file, on every machine. A missing text is an empty one, a missing
     doc_id comes first, rows with equal ids stand in the order of their contents, and repeated
     rows are written as often as they occur. An empty table gives an empty corpus. Other
@@ -436,7 +445,11 @@ def write_tokens(
     spark = documents.sparkSession
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end + 1)
     plain = f"{folder}/plain"
-    tokenize(documents, path, end, vocabulary).write.option("compression", "zstd").parquet(plain)
+    place = []
+    if order:
+        documents = documents.select("doc_id", F.col(order).alias("place"), "text")
+        place = ["place"]
+    tokenize(documents, path, end, vocabulary, *place).write.option("compression", "zstd").parquet(plain)
     tokens = spark.read.parquet(plain)
     counts = count_ids(tokens, vocabulary)
     lengths = code_lengths(counts, limit)
@@ -456,20 +469,21 @@ def write_tokens(
                     pa.array(of_docs.astype(np.int32)), pa.array(marks.astype(np.int64))
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("shard"), part.column("doc_id"), part.column("n_tokens"), lists,
+                    [*(part.column(c) for c in ("shard", *place, "doc_id", "n_tokens")), lists,
                      _binary(cuts, data)],
-                    ["shard", "doc_id", "n_tokens", "marks", "bits"],
+                    ["shard", *place, "doc_id", "n_tokens", "marks", "bits"],
                 )
 
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.xxhash64("ids")
-    ordered = tokens.withColumn("__key", key).repartitionByRange(pieces, "doc_id", "__key")
-    ordered = ordered.sortWithinPartitions("doc_id", "__key").select(
-        F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "ids"
+    by = [*place, "doc_id", "__key"]
+    ordered = tokens.withColumn("__key", key).repartitionByRange(pieces, *by)
+    ordered = ordered.sortWithinPartitions(*by).select(
+        F.spark_partition_id().alias("shard"), *place, "doc_id", "n_tokens", "ids"
     )
-    name = documents.schema["doc_id"].dataType.simpleString()
+    types = _types(documents, [*place, "doc_id"])
     ordered.mapInArrow(
-        run, f"shard int, doc_id {name}, n_tokens long, marks array<long>, bits binary"
+        run, f"shard int, {types}, n_tokens long, marks array<long>, bits binary"
     ).write.option("compression", "none").parquet(f"{folder}/documents")
     used = np.flatnonzero(counts)
     spark.createDataFrame(
@@ -480,7 +494,10 @@ def write_tokens(
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """``shard, doc_id, n_tokens, ids`` from the files; ids as little-endian unsigned 32 bits."""
+    """``shard, doc_id, n_tokens, ids`` from the files; ids as little-endian unsigned 32 bits.
+
+    Files that were written by an ``order`` have it as ``place`` after the shard.
+    """
     code = spark.read.parquet(f"{folder}/codes").select("id", "length", "interval").collect()
     interval = code[0].interval if code else INTERVAL
     lengths = np.zeros(max((r.id for r in code), default=0) + 1, np.int64)
@@ -504,14 +521,13 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 ids = unpack(data, blocks, counts, table, lengths)
                 cuts = np.concatenate([[0], np.cumsum(n)]) * 4
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("shard"), part.column("doc_id"), part.column("n_tokens"),
-                     _binary(cuts, ids.tobytes())],
-                    ["shard", "doc_id", "n_tokens", "ids"],
+                    [*(part.column(c) for c in kept), _binary(cuts, ids.tobytes())],
+                    [*kept, "ids"],
                 )
 
     files = spark.read.parquet(f"{folder}/documents")
-    name = files.schema["doc_id"].dataType.simpleString()
-    return files.mapInArrow(run, f"shard int, doc_id {name}, n_tokens long, ids binary")
+    kept = [c for c in files.columns if c not in ("marks", "bits")]
+    return files.mapInArrow(run, f"{_types(files, kept)}, ids binary")
 
 
 def token_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -526,19 +542,19 @@ def token_index(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             sums = [zlib.crc32(ids.as_buffer()) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("shard", "doc_id", "n_tokens")),
-                 pa.array(sums, pa.int64())],
-                ["shard", "doc_id", "n_tokens", "ids_crc32"],
+                [*(batch.column(c) for c in kept), pa.array(sums, pa.int64())],
+                [*kept, "ids_crc32"],
             )
 
-    name = read.schema["doc_id"].dataType.simpleString()
-    rows = read.mapInArrow(run, f"shard int, doc_id {name}, n_tokens long, ids_crc32 long")
+    kept = [c for c in read.columns if c != "ids"]
+    rows = read.mapInArrow(run, f"{_types(read, kept)}, ids_crc32 long")
     sizes = spark.read.parquet(f"{folder}/documents").groupBy("shard").agg(
         F.sum("n_tokens").alias("__n")
     )
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("shard", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("shard").orderBy("doc_id", "n_tokens", "ids_crc32")
+    place = [c for c in kept if c == "place"]
+    within = Window.partitionBy("shard").orderBy(*place, "doc_id", "n_tokens", "ids_crc32")
     before = F.coalesce(
         F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )

@@ -125,6 +125,32 @@ def test_copies_lie_apart_in_the_mix(spark):
     assert all(len(at[i]) == 2 and at[i][1] - at[i][0] > len(mixed) / 5 for i in range(20))
 
 
+def test_token_files_stand_in_training_order(spark):
+    import corpus_pipeline
+
+    (_, mix), (_, write) = corpus_pipeline.STAGES[3:]
+    data = [(i, f"w{i} " * (1 + i % 9), "abbbbbbc"[i % 8], "x") for i in range(160)]
+    mixed = mix(spark, spark.createDataFrame(data, DOCS), "")
+    assert mixed.columns == ["doc_id", "text", "source", "size", "position"]
+    rows = mixed.collect()
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    want = [r.doc_id for r in sorted(rows, key=lambda r: (r.position, r.doc_id))]
+    index = write(spark, mixed, "").orderBy("start").collect()
+    assert [r.doc_id for r in index] == want and want != sorted(want)
+    assert [r.start for r in index[1:]] == [r.start + r.n_tokens for r in index[:-1]]
+
+
+def test_query_in_training_order(spark, folder):
+    from firstdue.llm.queries import QUERIES
+
+    got = QUERIES["op2_training_order"](spark, folder).collect()
+    assert [r.position for r in got] == sorted(r.position for r in got)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = mixing.plan_mix(docs, whole=True).collect()
+    want = sorted((r.doc_id, t) for r in plan for t in r.positions if t is not None)
+    assert sorted((r.doc_id, r.position) for r in got) == want
+
+
 def test_time_inverts_the_integral(spark):
     knots = ((0.0, 0.5), (0.6, 1.0), (1.0, 2.0))
     shares_ = [i / 20 for i in range(21)]
