@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firstdue.llm.text import ascii_lower, blank_if_null, fenced
+from firstdue.llm.text import LOWER, UPPER, ascii_lower, blank_if_null, fenced
 
 # Sentences of public licences, in normalised form.
 SENTENCES = {
@@ -127,25 +127,77 @@ def recognise(text: Column, known: Sequence[str]) -> Column:
     return F.filter(numbered, lambda x: x["id"] > 0)
 
 
+def line_pattern(known: Sequence[str]) -> str:
+    """Any known sentence that begins and ends at a ``|`` or a line break, longer ones first."""
+    longest = sorted(set(known), key=lambda s: (-len(s.split()), s))
+    found = "|".join(r"[ \n]".join(map(re.escape, s.split())) for s in longest)
+    return rf"(?<![^|\n])(?:{found})(?![^|\n])"
+
+
+def recognise_lines(text: Column, known: Sequence[str]) -> Column:
+    """Structs (at, id) as in ``recognise``; sentences may begin and end with a line, too.
+
+    The text becomes words with one blank, line break or, where a sentence ends, ``|`` between
+    them. Known sentences are found in it however their lines are wrapped.
+    """
+    some = "|".join(map(re.escape, keywords(known)))
+    low = F.translate(text, UPPER + "|", LOWER + "-")
+    plain = F.regexp_replace(low, SENTENCE_END, "|")
+    for pattern, by in (
+        (r"[^0-9a-z|\n]+", " "), (r" ?\n[ \n]*", "\n"), (r"[ \n]+\|", "|"), (r"\|[ \n]+", "|"),
+        (r"^[ \n]+|[ \n]+$", ""),
+    ):
+        plain = F.regexp_replace(plain, pattern, by)
+    plain = fenced(F.when(low.rlike(some), plain).otherwise(""))
+    pattern = line_pattern(known)
+    found = F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
+    # Sentences that end between two known ones or, within one sentence, lines.
+    between = F.transform(
+        F.split(plain, pattern, -1),
+        lambda s: F.greatest(
+            F.lit(1),
+            F.when(s.contains("|"), F.length(s) - F.length(F.translate(s, "|", "")))
+            .otherwise(F.length(s) - F.length(F.translate(s, "\n", ""))),
+        ),
+    )
+    names = F.array(*map(F.lit, known))
+    ids = F.transform(found, lambda s: F.array_position(names, F.translate(s, "\n", " ")))
+    steps = F.arrays_zip(ids.alias("id"), F.slice(between, 1, F.size(ids)).alias("gap"))
+    start = F.struct(
+        F.lit(0).alias("sum"), F.expr("cast(array() as array<struct<at: int, id: bigint>>)").alias("all")
+    )
+
+    def add(so_far: Column, step: Column) -> Column:
+        at = so_far["sum"] + step["gap"]
+        one = F.array(F.struct(at.alias("at"), step["id"].alias("id")))
+        return F.struct(at.alias("sum"), F.concat(so_far["all"], one).alias("all"))
+
+    return F.aggregate(steps, start, add, lambda x: x["all"])
+
+
 def scan_licenses(
     documents: DataFrame,
     sentences: Mapping[str, str] = SENTENCES,
     rules: Sequence[tuple[str, tuple[str, ...]]] = RULES,
     max_gap: int = MAX_GAP,
+    lines: bool = True,
 ) -> DataFrame:
     """``documents`` with ``n_known``, ``sequence`` and ``licenses`` of each text.
 
     ``n_known`` counts known sentences, ``sequence`` is their identifiers in order
     (``|`` where more than ``max_gap`` sentences lie between), ``licenses`` the sorted names of the
-    licences whose rules match. Texts are read whole. A missing or empty text has none; rows are
+    licences whose rules match. A known sentence begins and ends where a sentence of the text does
+    or where a line does, and may be wrapped over lines; without ``lines`` only ends of
+    sentences and empty lines count. Texts are read whole. A missing or empty text has none; rows are
     handled one by one, so repeated rows repeat; input columns with the name of a new one are
     replaced.
     """
     known = list(sentences.values())
     number = {name: k for k, name in enumerate(sentences, 1)}
     kept = [c for c in documents.columns if c not in ("n_known", "sequence", "licenses")]
+    names_of = recognise_lines if lines else recognise
     found = documents.select(
-        *kept, fenced(recognise(blank_if_null(F.col("text")), known)).alias("__found")
+        *kept, fenced(names_of(blank_if_null(F.col("text")), known)).alias("__found")
     )
     steps = F.transform(
         "__found",

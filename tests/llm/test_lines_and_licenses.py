@@ -139,6 +139,35 @@ def test_licences(spark, text, known, names):
     assert (row.n_known, row.licenses) == (known, names)
 
 
+@pytest.mark.parametrize(
+    ("text", "known", "names"),
+    [
+        ("some words\nLicensed under CC BY-NC 4.0.", 1, ["CC-BY-NC-4.0"]),
+        ("| a | b |\r\nLicensed under CC BY 4.0\r\nmore words", 1, ["CC-BY-4.0"]),
+        ("# Copyright (c) 2020 A\n#\n# Licensed under the Apache License, Version 2.0\n# (the "
+         '"License");\n# you may not use this file except in compliance\n# with the License.\n',
+         2, ["Apache-2.0"]),
+        ("MIT License\nCopyright (c) 2020 A. Person", 1, ["MIT"]),
+        ("words, not\nreleased under\n  the MIT License\nhere", 1, ["MIT"]),
+        # Inside a line, or across the end of a sentence, it is not one.
+        ("it is licensed under CC BY 4.0\nor so", 0, []), ("Licensed under. CC BY 4.0", 0, []),
+        ("MIT License\n" + "filler\n" * 9 + "MIT License", 2, ["MIT"]),
+    ],
+)
+def test_licences_of_lines(spark, text, known, names):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = licenses.scan_licenses(df).collect()[0]
+    assert (row.n_known, row.licenses, "|" in row.sequence) == (known, names, "filler" in text)
+
+
+def test_lines_find_what_sentences_find(spark, folder):
+    both = QUERIES["op6_licenses"](spark, folder).alias("a").join(
+        QUERIES["op6_license_lines"](spark, folder).alias("b"), "doc_id"
+    ).selectExpr("a.n_known as x", "b.n_known as y", "a.sequence as s", "b.sequence as t").collect()
+    assert all(r.y > r.x or (r.y, r.t) == (r.x, r.s) for r in both)
+    assert sum(r.x for r in both) > 0
+
+
 def test_order_and_gaps(spark):
     grant, notice = licenses.SENTENCES["mit-grant"], licenses.SENTENCES["mit-notice"]
     far = ". ".join([grant, *["filler words"] * 6, notice])
