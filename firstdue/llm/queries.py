@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstdue.llm import (
-    chat, decontamination, licenses, line_dedup, mixing, quality, simhash, tokens, toxicity, urls,
+    chat, decontamination, exact, licenses, line_dedup, mixing, quality, simhash, tokens, toxicity,
+    urls,
 )
 from firstdue.llm.registry import ORACLE, QUERIES, register, table  # noqa: F401
 from firstdue.llm.text import LOWER, UPPER, blank_if_null, fenced
@@ -277,3 +278,18 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
 def op6_license_lines(spark: SparkSession, folder: str) -> DataFrame:
     scanned = licenses.scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))
     return scanned.select("doc_id", "n_known", "sequence", F.array_join("licenses", ",").alias("licenses"))
+
+
+OP13_SQL = """
+with d as (
+  select doc_id, sha256(coalesce(text, '')) as text_sha256, row_number() over () as place from documents)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+  row_number() over (partition by text_sha256 order by doc_id desc nulls last, place) = 1 as kept,
+  text_sha256
+from d window same as (partition by text_sha256)
+"""
+
+
+@register("op13_exact_dedup", OP13_SQL)
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.mark_copies(table(spark, folder, "documents"))
