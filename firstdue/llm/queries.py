@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstdue.llm import (
-    chat, decontamination, exact, licenses, line_dedup, mixing, quality, simhash, tokens, toxicity,
-    urls,
+    chat, clustering, decontamination, exact, licenses, line_dedup, mixing, quality, simhash, tokens, toxicity,
+    urls, whitening,
 )
 from firstdue.llm.registry import ORACLE, QUERIES, register, table  # noqa: F401
 from firstdue.llm.text import LOWER, UPPER, blank_if_null, fenced
@@ -280,6 +280,58 @@ def op6_license_lines(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.select("doc_id", "n_known", "sequence", F.array_join("licenses", ",").alias("licenses"))
 
 
+OP11_START = """
+with v as (
+  select vec_id, list_transform(embedding, lambda c: cast(floor(64 * cast(c as double)) as bigint)) as x,
+    sha256('1:' || vec_id) as name
+  from embeddings where len(embedding) = 64
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+e as (select vec_id, unnest(x) as a, generate_subscripts(x, 1) as i from v),
+"""
+OP11_ROUND = """
+d{0} as (
+  select vec_id, cluster, sum((a - b) * (a - b)) as distance from e join c{0} using (i) group by all),
+a{0} as (
+  select vec_id, cluster, distance from d{0}
+  qualify row_number() over (partition by vec_id order by distance, cluster) = 1),
+"""
+OP11_MOVE = """
+s{0} as (
+  select cluster, i, sum(a) as s, count(*) as n from a{0} join e using (vec_id) group by all),
+c{1} as (
+  select c{0}.cluster, i, coalesce((s - ((s % n) + n) % n) // n, b) as b
+  from c{0} left join s{0} using (cluster, i)),
+"""
+OP11_SQL = (
+    OP11_START
+    + """
+first as (select x, row_number() over (order by name) - 1 as cluster from v order by name limit 16),
+c0 as (select cluster, unnest(x) as b, generate_subscripts(x, 1) as i from first),
+"""
+    + "".join(OP11_ROUND.format(r) + OP11_MOVE.format(r, r + 1) for r in range(3))
+    + OP11_ROUND.format(3)
+    + """
+named as (
+  select cluster, sha256(string_agg(cast(cast(b as bigint) as varchar), ',' order by i)) as centroid_sha256
+  from c3 group by cluster)
+select vec_id, cast(cluster as integer) as cluster, cast(distance as bigint) as distance,
+  cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+  cast(sum(distance) over () as bigint) as inertia, centroid_sha256
+from a3 join named using (cluster)
+"""
+)
+
+
+@register("op11_clustering", OP11_SQL)
+def op11_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, folder, "embeddings"))
+
+
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 OP13_SQL = """
 with d as (
   select doc_id, sha256(coalesce(text, '')) as text_sha256, row_number() over () as place from documents)
