@@ -1,33 +1,35 @@
 """Exact quantiles per group, also where one group holds most of the rows.
 
 ``percentile`` keeps every distinct value of a group in one task and fails on a group of
-billions of rows. Here a quantile is found by narrowing, for every size of input:
-
-1. rows are counted per (group, value), with map-side combine: the one shuffle of the
-   rows, and all that follows reads its result;
-2. counts per coarse bucket of values, and a running sum over the at most few
-   thousand buckets of a group, tell which bucket holds the wanted rank;
-3. values in these buckets are narrowed once more to fine buckets (2**19 per coarse
-   one), ranked and interpolated.
-
-Nothing is sampled, and no task holds a group: windows run over bucket counts.
+billions of rows. Here a quantile is found by laying the values out in buckets, for every size
+of input:
+
+1. rows are counted per (group, value), with map-side combine, so a value that very many rows
+   share is one row from here on;
+2. the counted values are laid out by (group, bucket of values). A bucket lies in one task, the buckets
+   of a large group in many; what is needed of a bucket is added up where it lies;
+3. one row per bucket goes to its group, where a running sum tells which bucket holds a wanted rank;
+4. these buckets are read back, where they lie, in order of their values.
+
+Steps 3 and 4 move bucket totals and wanted ranks, not rows. Nothing is sampled, and no task holds a
+group. A bucket is a ``2**-10`` part of an octave and is streamed in order; values that differ by far less
+than their size share few of them, so take off what they have in common first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COARSE_PER_OCTAVE = 2**7
-FINE_PER_OCTAVE = 2**26
+PER_OCTAVE = 2**10
 LOWEST_EXPONENT = -1074  # of a double
 HIGHEST_EXPONENT = 1024  # taken by infinity alone
+#: The bucket of missing values, below all others.
+MISSING = -(2**62)
 
-
-#: What ``extra`` can ask for: totals of a group, from its coarse buckets.
+#: What ``extra`` can ask for: totals of a group, from its buckets.
 EXTRAS = {
     "rows": lambda: F.sum("__rows"),
     "missing": lambda: F.sum(F.col("__rows") - F.col("__c")),
@@ -50,39 +52,29 @@ def group_quantiles(
 
     ``quantiles`` names the output columns; ``extra`` names further ones, each "rows",
     "missing", "min", "max" or "mean" of the same group. NaN counts as missing. With ``weight``
-    a row stands for that many equal rows. A missing key is a group of its own.
+    a row stands for that many equal rows, one at least. A missing key is a group of its own.
     """
     if na not in ("skip", "propagate"):
         raise ValueError(f"unknown policy {na!r}")
-    return _narrow(df, list(keys), value, dict(quantiles), dict(extra or {}), na, weight)
-
-
-def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join where a missing key matches a missing key."""
-    marked = right.select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
-    )
-    same = reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(marked[f"__r_{k}"]) for k in keys]
-    )
-    return left.join(marked, same).drop(*[f"__r_{k}" for k in keys])
+    return _found(df, list(keys), value, dict(quantiles), dict(extra or {}), na, weight)
 
 
-def _bucket(x: Column, per_octave: int) -> Column:
-    """Bucket number that never falls as ``x`` grows."""
+def _bucket(x: Column) -> Column:
+    """Bucket number that never falls as ``x`` grows; missing values have one of their own."""
     size = F.abs(x)
     exponent = F.least(F.floor(F.log2(size)), F.lit(HIGHEST_EXPONENT))
-    step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * per_octave)
-    step = F.least(F.greatest(step, F.lit(0)), F.lit(per_octave - 1))
-    number = (exponent - LOWEST_EXPONENT) * per_octave + step + 1
+    step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * PER_OCTAVE)
+    step = F.least(F.greatest(step, F.lit(0)), F.lit(PER_OCTAVE - 1))
+    number = (exponent - LOWEST_EXPONENT) * PER_OCTAVE + step + 1
     return (
         F.when(x == 0, F.lit(0).cast("long"))
         .when(x > 0, number.cast("long"))
         .when(x < 0, -number.cast("long"))
+        .otherwise(F.lit(MISSING))
     )
 
 
-def _narrow(
+def _found(
     df: DataFrame,
     keys: list[str],
     value: str,
@@ -92,112 +84,90 @@ def _narrow(
     weight: str | None,
 ) -> DataFrame:
     x = F.col(value).cast("double")
+    # The keys as one value that is never missing, so that it partitions and joins as it is.
+    group = F.struct(*(keys or [F.lit(0).alias("all")])).alias("__g")
     rows = df.select(
-        *keys,
+        group,
         F.when(~F.isnan(x), x).alias("__x"),
         (F.col(weight) if weight else F.lit(1)).cast("long").alias("__w"),
     )
-    counted = (
-        rows.groupBy(*keys, "__x")
-        .agg(F.sum("__w").alias("__c"))
-        .withColumn("__coarse", _bucket(F.col("__x"), COARSE_PER_OCTAVE))
-    )
-    n = F.col("__n")
-
-    def position(p: float) -> Column:
-        return (n - 1) * F.lit(float(p))
-
-    def low_rank(p: float) -> Column:  # 1-based
-        return F.floor(position(p)) + 1
-
-    def high_rank(p: float) -> Column:
-        return F.least(low_rank(p) + 1, n)
-
-    ranks = [f(p) for p in sorted(set(quantiles.values())) for f in (low_rank, high_rank)]
-
-    def holds(rank: Column) -> Column:
-        return (rank > F.col("__before")) & (rank <= F.col("__before") + F.col("__c"))
-
-    wanted = reduce(lambda a, b: a | b, [holds(r) for r in ranks])
+    counted = rows.groupBy("__g", "__x").agg(F.sum("__w").alias("__c"))
+    laid = counted.withColumn("__b", _bucket(F.col("__x"))).repartition("__g", "__b")
 
-    # Which coarse bucket holds each wanted rank. Missing values are a bucket of
-    # their own that holds no rank.
+    parts = {"sum" if kind == "mean" else kind for kind in extra.values()} | {"missing"}
+    totals = [f"__t_{kind}" for kind in sorted(parts)]
     known = F.col("__x").isNotNull()
-    coarse = counted.groupBy(*keys, "__coarse").agg(
+    buckets = laid.groupBy("__g", "__b").agg(
         F.sum(F.when(known, F.col("__c")).otherwise(0)).alias("__c"),
         F.sum("__c").alias("__rows"),
         F.min("__x").alias("__min"),
         F.max("__x").alias("__max"),
         F.sum(F.col("__x") * F.col("__c")).alias("__sum"),
     )
-    of_group = Window.partitionBy(*keys)
-    upto = of_group.orderBy("__coarse").rowsBetween(Window.unboundedPreceding, 0)
-    parts = {"sum" if kind == "mean" else kind for kind in extra.values()} | {"missing"}
-    totals = [f"__t_{kind}" for kind in sorted(parts)]
-    ranked_coarse = coarse.withColumns(
+    in_order = Window.partitionBy("__g").orderBy("__b")
+    # Ordered as well, so that one sort serves both.
+    in_group = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = buckets.withColumns(
         {
-            "__n": F.sum("__c").over(of_group),
-            "__before": F.sum("__c").over(upto) - F.col("__c"),
-            **{f"__t_{kind}": EXTRAS[kind]().over(of_group) for kind in sorted(parts)},
+            "__n": F.sum("__c").over(in_group),
+            "__before": F.sum("__c").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c"),
+            "__next": F.lead("__min").over(in_order),
+            **{f"__t_{kind}": EXTRAS[kind]().over(in_group) for kind in sorted(parts)},
         }
     )
-    hit = ranked_coarse.filter(wanted).select(
-        *keys, "__coarse", "__n", *totals, F.col("__before").alias("__base")
-    )
-
-    # Values in these buckets; then the fine bucket.
-    values = _join_on(counted, hit, [*keys, "__coarse"]).withColumn(
-        "__fine", _bucket(F.col("__x"), FINE_PER_OCTAVE)
-    )
-    fine = values.groupBy(*keys, "__coarse", "__fine", "__n", "__base").agg(
-        F.sum("__c").alias("__c")
-    )
-    upto = (
-        Window.partitionBy(*keys, "__coarse")
-        .orderBy("__fine")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    hit = (
-        fine.withColumn("__before", F.col("__base") + F.sum("__c").over(upto) - F.col("__c"))
-        .filter(wanted)
-        .select(*keys, "__fine", F.col("__before").alias("__fine_base"))
-    )
 
-    # Rank what is left, keep the wanted order statistics.
-    upto = (
-        Window.partitionBy(*keys, "__fine")
-        .orderBy("__x")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = (
-        _join_on(values, hit, [*keys, "__fine"])
-        .withColumn("__before", F.col("__fine_base") + F.sum("__c").over(upto) - F.col("__c"))
-        .filter(wanted)
-        .select(*keys, "__x", "__n", *totals, "__before", "__c")
-    )
-    # A group without any value has no rank to find; it still gives a row.
-    empty = ranked_coarse.filter(n == 0).select(
-        *keys, F.lit(None).cast("double").alias("__x"), "__n", *totals, "__before", "__c"
-    )
-    ends = []
+    # The bucket that holds a quantile's lower rank. The rank above it may open the next bucket,
+    # whose least value is then the one. A group without values asks for its missing ones: it
+    # still gives a row.
+    n, before, c = F.col("__n"), F.col("__before"), F.col("__c")
+    asked = []
     for i, p in enumerate(quantiles.values()):
-        ends.append(F.max(F.when(holds(low_rank(p)), F.col("__x"))).alias(f"__lo{i}"))
-        ends.append(F.max(F.when(holds(high_rank(p)), F.col("__x"))).alias(f"__hi{i}"))
-    summary = (
-        ranked.unionByName(empty)
-        .groupBy(*keys)
-        .agg(F.max("__n").alias("__n"), *[F.max(t).alias(t) for t in totals], *ends)
-    )
-    columns = []
-    for i, (name, p) in enumerate(quantiles.items()):
-        share = position(p) - F.floor(position(p))
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        between = (1 - share) * lo + share * hi
-        result = F.when((share == 0) | (lo == hi), lo).otherwise(between)
-        if na == "propagate":
-            result = F.when(F.col("__t_missing") == 0, result)
-        columns.append(result.alias(name))
+        position = (n - 1) * F.lit(float(p))
+        low = F.floor(position) + 1
+        holds = (low > before) & (low <= before + c)
+        asked.append(
+            F.when(
+                holds | (n == 0),
+                F.struct(
+                    F.lit(i).alias("i"), (low - before).alias("low"),
+                    (F.least(low + 1, n) - before).alias("high"), (position - F.floor(position)).alias("share"),
+                ),
+            )
+        )
+    wanted = ranked.select(
+        "__g", "__b", "__n", "__next", *totals, F.array_compact(F.array(*asked)).alias("__asked")
+    ).filter(F.size("__asked") > 0)
+
+    # Values of these buckets in order, with running counts.
+    upto = Window.partitionBy("__g", "__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    read = laid.join(wanted, ["__g", "__b"]).withColumn("__upto", F.sum("__c").over(upto))
+    met = read.select(
+        "__g", "__b", "__n", "__next", *totals, "__x", "__upto", "__c", F.inline("__asked")
+    )
+
+    def at(rank: str) -> Column:
+        here = (F.col(rank) > F.col("__upto") - F.col("__c")) & (F.col(rank) <= F.col("__upto"))
+        return F.max(F.when(here, F.col("__x")))
+
+    ends = met.groupBy("__g", "__b", "i").agg(
+        at("low").alias("__lo"), F.coalesce(at("high"), F.max("__next")).alias("__hi"),
+        *[F.max(name).alias(name) for name in ["share", "__n", *totals]],
+    )
+    lo, hi, share = F.col("__lo"), F.col("__hi"), F.col("share")
+    between = (1 - share) * lo + share * hi
+    result = F.when((share == 0) | (lo == hi), lo).otherwise(between)
+    if na == "propagate":
+        result = F.when(F.col("__t_missing") == 0, result)
+    valued = ends.withColumn("__q", result)
+    if len(quantiles) == 1:
+        valued = valued.withColumn("__q0", F.col("__q"))
+    else:
+        valued = valued.groupBy("__g").agg(
+            *[F.max(name).alias(name) for name in ["__n", *totals]],
+            *[F.max(F.when(F.col("i") == i, F.col("__q"))).alias(f"__q{i}") for i in range(len(quantiles))],
+        )
+    columns = [F.col(f"__q{i}").alias(name) for i, name in enumerate(quantiles)]
     for name, kind in extra.items():
-        total = F.try_divide(F.col("__t_sum"), F.col("__n")) if kind == "mean" else F.col(f"__t_{kind}")
+        total = F.try_divide(F.col("__t_sum"), n) if kind == "mean" else F.col(f"__t_{kind}")
         columns.append(total.alias(name))
-    return summary.select(*keys, *columns)
+    return valued.select(*[F.col("__g")[k].alias(k) for k in keys], *columns)

@@ -1,4 +1,4 @@
-"""Operators on hand-made rows, properties, skew and both quantile ways."""
+"""Operators on hand-made rows, properties and skew."""
 
 import random
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from firstdue import constants
 from firstdue.operators import (
     calibration, columns, density, distributions, drive_times, geocoding, indicators, responses,
-    sampling, scenarios, spatial,
+    quantiles, sampling, scenarios, spatial,
 )
 from firstdue.operators.quantiles import group_quantiles
 from firstdue.plans import feeds
@@ -81,7 +81,7 @@ def test_hot_incident_is_split_over_tasks(spark, tmp_path):
 # Quantiles --------------------------------------------------------------------
 
 
-def test_both_quantile_ways_are_exact(spark):
+def test_quantiles_are_exact(spark):
     draw = random.Random(5)
     data = []
     for i in range(6000):
@@ -131,14 +131,39 @@ def test_quantiles_of_many_groups(spark):
     assert out.count() == 5000 and wrong.count() == 0
 
 
-def test_quantiles_shuffle_the_rows_once(spark, folder):
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def shuffles(plan):
+    """Exchanges that ran, without those whose result is used again."""
+    return sum("Exchange hashpartitioning" in x and "Reused" not in x for x in plan.splitlines())
+
+
+@pytest.mark.parametrize("keys", [["l_suppkey"], []])
+def test_quantiles_shuffle_the_rows_once(spark, folder, keys):
     rows = spark.read.parquet(f"{folder}/lineitem.parquet")
-    out = group_quantiles(rows, ["l_suppkey"], "l_extendedprice", {"m": 0.5}, {"n": "rows"})
-    out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    # Every use of the counted values but the first reads the same exchange.
+    final = final_plan(group_quantiles(rows, keys, "l_extendedprice", {"m": 0.5}, {"n": "rows"}))
     assert final.count("FileScan parquet") - final.count("ReusedExchange") <= 1
+    # Counting, laying out in buckets, totals of buckets by group; several quantiles are then put in a row.
+    assert shuffles(final) <= 3
+    many = {"a": 0.1, "b": 0.5, "c": 0.9}
+    assert shuffles(final_plan(group_quantiles(rows, keys, "l_extendedprice", many))) <= 4
+
+
+def test_a_group_with_most_of_the_rows_is_spread(spark):
+    """Of one hot group no task gets a large part, whether its values differ or not."""
+    x = F.when(F.col("id") % 3 == 0, F.lit(4.0)).otherwise(F.exp(F.col("id") % 9973 / 2000))
+    df = spark.range(0, 120_000, 1, 8).select(F.lit("hot").alias("k"), x.alias("x"))
+    out = group_quantiles(df, ["k"], "x", {"m": 0.5, "p": 0.9}, {"n": "rows"})
+    values = np.where(np.arange(120_000) % 3 == 0, 4.0, np.exp(np.arange(120_000) % 9973 / 2000))
+    assert rows(out)[0] == ("hot", pytest.approx(np.quantile(values, 0.5), rel=1e-12),
+                            pytest.approx(np.quantile(values, 0.9), rel=1e-12), 120_000)
+    counted = df.groupBy("k", "x").count()
+    laid = counted.withColumn("b", quantiles._bucket(F.col("x"))).repartition(16, "k", "b")
+    sizes = [r[0] for r in laid.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
 
 
 def test_quantile_weights_and_na_policy(spark):
