@@ -110,6 +110,28 @@ def _(spark, folder):
     return _grid(spark, folder, "mean")
 
 
+def _one_pass_sql() -> str:
+    def part(grid, year, keys, where):
+        return (
+            f"select '{grid}' as grid, {year} as year, cell_x, cell_y, {r('quantile_cont(first_resp, 0.5)')} as median, "
+            f"{r('quantile_cont(first_resp, 0.9)')} as p90, {r('avg(first_resp)')} as mean, count(*) as n, "
+            f"{r('(cell_x + 0.5::double) * 0.002::double')} as lon, "
+            f"{r('(cell_y + 0.5::double) * 0.002::double')} as lat from cells where {where} group by {keys}cell_x, cell_y"
+        )
+
+    body = part("all", "null", "", "true") + " union all " + part("year", "year", "year, ", "true")
+    return _grid_sql("avg(first_resp)").rsplit("\nselect", 1)[0] + "\n" + body
+
+
+@register("grid_statistics", _one_pass_sql())
+def _(spark, folder):
+    # The four maps above from one call: their statistics, over all years and by year.
+    rows = _mapped(spark, folder, first_only=True)
+    stats = {"median": "median", "p90": 0.9, "mean": "mean"}
+    out = spatial.grid_statistics(rows, stats, [None, "year"])
+    return rounded(out, *stats, "lon", "lat")
+
+
 # Density ----------------------------------------------------------------------
 
 

@@ -470,6 +470,59 @@ def test_density_keeps_a_missing_facet_and_the_facets_type(spark):
     }
 
 
+def test_grids_of_one_call_equal_grids_of_their_own(spark, tmp_path):
+    draw = random.Random(8)
+    data = [
+        (draw.choice([1.0, draw.uniform(0, 9)]), draw.uniform(0, 9), draw.choice(["a", "b", None]),
+         draw.choice([None, float("nan"), 3.0, draw.gauss(5, 2)]))
+        for _ in range(3000)
+    ] + [(None, 2.0, "a", 1.0)]
+    spark.createDataFrame(data, "lon double, lat double, year string, first_resp double").write.parquet(
+        str(tmp_path / "rows")
+    )
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    stats = {"median": "median", "p90": 0.9, "mean": "mean"}
+    both = spatial.grid_statistics(df, stats, [None, "year"], width=2.0)
+    assert both.columns == ["grid", "year", "cell_x", "cell_y", "median", "p90", "mean", "n", "lon", "lat"]
+    final = final_plan(both)
+    assert final.count("FileScan parquet") - final.count("ReusedExchange") <= 1
+    for grid, facet in (("all", None), ("year", "year")):
+        got = both.filter(F.col("grid") == grid)
+        for name, stat in stats.items():
+            own = spatial.grid_summary(df, stat, facet=facet, width=2.0)
+            keys = [facet] * bool(facet) + ["cell_x", "cell_y"]
+            wanted = own.select(*keys, F.round("stat", 9), "n", "lon", "lat")
+            assert sorted(map(repr, got.select(*keys, F.round(name, 9), "n", "lon", "lat").collect())) == (
+                sorted(map(repr, wanted.withColumnRenamed("round(stat, 9)", f"round({name}, 9)").collect()))
+            )
+    by_year = {}
+    for lon, lat, year, x in data:
+        cell = (None if lon is None else max(-(-lon // 2) - 1, 0), max(-(-lat // 2) - 1, 0), year)
+        by_year.setdefault(cell, []).append(x)
+    for r in both.filter("grid = 'year'").collect():
+        x = [v for v in by_year[r["cell_x"], r["cell_y"], r["year"]] if v is not None and v == v]
+        assert r["n"] == len(by_year[r["cell_x"], r["cell_y"], r["year"]])
+        if x:
+            assert (r["median"], r["p90"], r["mean"]) == pytest.approx(
+                (np.quantile(x, 0.5), np.quantile(x, 0.9), sum(x) / len(x)), rel=1e-9
+            )
+
+
+def test_dot_points_with_one_hot_coordinate(spark):
+    draw = random.Random(9)
+    data = [(1.0, 2.0, draw.gauss(5, 2)) if i % 3 else (i % 500 / 7, 3.0, draw.gauss(5, 2)) for i in range(9000)]
+    df = spark.createDataFrame(data, "lon double, lat double, first_resp double")
+    groups = {}
+    for lon, lat, x in data:
+        groups.setdefault((lon, lat), []).append(x)
+    got = {(r["lon"], r["lat"]): (r["median"], r["n"]) for r in spatial.dot_points(df).collect()}
+    assert got.keys() == groups.keys()
+    for k, x in groups.items():
+        assert got[k] == (pytest.approx(float(np.quantile(x, 0.5)), rel=1e-12), len(x))
+    hot = df.filter("lon = 1.0 and lat = 2.0").withColumn("b", quantiles._bucket(F.col("first_resp")))
+    assert hot.repartition(16, "lon", "lat", "b").select(F.spark_partition_id()).distinct().count() == 16
+
+
 def test_values_on_cell_edges(spark):
     # 0.002 * k is not exact in binary; each edge belongs to the cell below it.
     edges = [-71.1 + 0.002 * k for k in range(1, 60)]
