@@ -1,9 +1,10 @@
 """Two-dimensional kernel density on a fixed grid of nodes.
 
-Rows are first counted per distinct point. Each task then adds up its points'
-kernels on the grid as one matrix product and emits one row per node, which
-Spark sums over tasks. The product is exact, its memory is the grid's, and no
-(point, node) pairs are shuffled.
+Rows are first counted per distinct point. A kernel of two axes is a product of one
+per axis, so each task works out one kernel row per distinct longitude and one per
+distinct latitude, multiplies them through the sparse matrix of counts between
+them, and emits one row per node, which Spark sums over tasks. The product is exact,
+its memory is the grid's, and no (point, node) pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -51,47 +52,30 @@ def _span(points: DataFrame) -> DataFrame:
 
 
 def bandwidths(points: DataFrame, facet: str | None = None) -> DataFrame:
-    """``n`` and the kernel width of each axis (``sx``, ``sy``), per facet.
+    """``n``, the kernel width of each axis (``sx``, ``sy``) and the span of all data, per facet.
 
     Width: 1.06 · min(sd, IQR / 1.34) · n^(-1/5). Fails where a width is not positive, as
     for a single point or when half of the rows share a coordinate: there is no density.
+    Both axes are one table of counts per distinct coordinate, which gives quartiles and spread at once.
     """
     keys = [facet] if facet else []
-    c = F.col("c")
-    # Sums of squares around the lowest point, so that no digits cancel.
-    dx, dy = F.col("lon") - F.col("x0"), F.col("lat") - F.col("y0")
-    sums = _attach(points, _span(points)).groupBy(*keys).agg(
-        F.sum("c").alias("n"),
-        *[
-            F.sum(c * d * e).alias(name)
-            for d, axis in ((dx, "x"), (dy, "y"))
-            for e, name in ((F.lit(1.0), f"s1{axis}"), (d, f"s2{axis}"))
-        ],
+    span = _span(points)
+    # Above the lowest point, so that no digits cancel.
+    above = {a: F.col(c) - F.col(f"{a}0") for a, c in (("x", "lon"), ("y", "lat"))}
+    axes = F.array(*[F.struct(F.lit(a).alias("__axis"), v.alias("__v")) for a, v in above.items()])
+    long = _attach(points, span).select(*keys, "c", F.inline(axes))
+    found = group_quantiles(
+        long, [*keys, "__axis"], "__v", {"q1": 0.25, "q3": 0.75}, {"n": "rows", "var": "variance"}, weight="c"
     )
-    axes = F.array(
-        *[F.struct(F.lit(a).alias("__axis"), F.col(v).alias("__v")) for a, v in (("x", "lon"), ("y", "lat"))]
+    iqr = (F.col("q3") - F.col("q1")) / 1.34
+    width = 1.06 * F.least(F.sqrt("var"), iqr) * F.pow(F.col("n"), F.lit(-0.2))
+    # One point has no spread at all.
+    message = F.concat(F.lit("no density: the kernel width of axis "), "__axis", F.lit(" is not positive"))
+    checked = F.when((width > 0) & (F.col("n") > 1), width).otherwise(F.raise_error(message))
+    wide = found.withColumn("s", checked).groupBy(*keys).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("__axis") == a, F.col("s"))).alias(f"s{a}") for a in "xy"]
     )
-    long = points.select(*keys, "c", F.inline(axes))
-    quartiles = group_quantiles(
-        long, [*keys, "__axis"], "__v", {"q1": 0.25, "q3": 0.75}, weight="c"
-    )
-    ranges = quartiles.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("__axis") == a, F.col("q3") - F.col("q1"))).alias(f"iqr{a}")
-            for a in ("x", "y")
-        ]
-    )
-    out = _by_facet(sums, ranges, facet) if facet else _attach(sums, ranges)
-
-    def width(axis: str):
-        squares = F.col(f"s2{axis}") - F.col(f"s1{axis}") * F.col(f"s1{axis}") / F.col("n")
-        sd = F.sqrt(F.try_divide(F.greatest(squares, F.lit(0.0)), F.col("n") - 1))
-        found = 1.06 * F.least(sd, F.col(f"iqr{axis}") / 1.34) * F.pow(F.col("n"), F.lit(-0.2))
-        # One point has no spread at all.
-        message = f"no density: the kernel width of axis {axis} is not positive"
-        return F.when((found > 0) & (F.col("n") > 1), found).otherwise(F.raise_error(F.lit(message)))
-
-    return out.select(*keys, "n", width("x").alias("sx"), width("y").alias("sy"))
+    return _attach(wide, span) if facet else _attach(wide.filter("n > 0"), span)
 
 
 def _by_facet(rows: DataFrame, table: DataFrame, facet: str) -> DataFrame:
@@ -100,9 +84,24 @@ def _by_facet(rows: DataFrame, table: DataFrame, facet: str) -> DataFrame:
     return rows.join(named, rows[facet].eqNullSafe(named["__f"])).drop("__f")
 
 
-def _kernel(nodes: np.ndarray, x: np.ndarray, width: float) -> np.ndarray:
-    z = (nodes[None, :] - x[:, None]) / width
-    return np.exp(-0.5 * z * z) / np.sqrt(2.0 * np.pi)
+def _kernels(nodes: np.ndarray, x: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """One kernel row per distinct ``x``, and which of them each ``x`` has."""
+    own, which = np.unique(x, return_inverse=True)
+    z = (nodes[None, :] - own[:, None]) / width
+    return np.exp(-0.5 * z * z) / np.sqrt(2.0 * np.pi), which
+
+
+def _grid_part(gx, gy, lon, lat, weight, sx, sy) -> np.ndarray:
+    """The points' kernels on the grid: kernels of longitudes, counts, kernels of latitudes.
+
+    The counts are a sparse matrix between distinct longitudes and latitudes, one entry per point.
+    """
+    kx, ix = _kernels(gx, lon, sx)
+    ky, iy = _kernels(gy, lat, sy)
+    order = np.argsort(ix, kind="stable")
+    starts = np.flatnonzero(np.diff(ix[order], prepend=-1))
+    rows = np.add.reduceat(ky[iy[order]] * weight[order, None], starts, axis=0)
+    return kx.T @ rows
 
 
 def _grid_sums(size: int):
@@ -131,8 +130,7 @@ def _grid_sums(size: int):
                 weight = part["c"].to_numpy() / scale
                 for at in range(0, len(part), KERNEL_ROWS):
                     cut = slice(at, at + KERNEL_ROWS)
-                    kx = _kernel(gx, lon[cut], p.sx) * weight[cut, None]
-                    grid += kx.T @ _kernel(gy, lat[cut], p.sy)
+                    grid += _grid_part(gx, gy, lon[cut], lat[cut], weight[cut], p.sx, p.sy)
             if len(held) > HELD_FACETS:
                 yield from rows_of(held)
                 held = {}
@@ -152,12 +150,12 @@ def density_grid(
     points = point_counts(rows, facet)
     widths = bandwidths(points, facet)
     placed = _by_facet(points, widths, facet) if facet else _attach(points, widths)
-    # As text on the way: blank for a missing facet, else marked.
+    # As text on the way: blank for a missing facet, else marked. Equal longitudes come together.
     text = F.concat(F.lit("="), F.col(facet).cast("string")) if facet else F.lit("")
-    placed = _attach(placed, _span(points)).select(
+    placed = placed.select(
         F.coalesce(text, F.lit("")).alias("facet"),
         "lon", "lat", "c", "n", "sx", "sy", "x0", "x1", "y0", "y1",
-    )
+    ).sortWithinPartitions("facet", "lon")
     sums = placed.mapInPandas(
         _grid_sums(size), "facet string, ix int, iy int, lon double, lat double, density double"
     )

@@ -36,6 +36,13 @@ EXTRAS = {
     "min": lambda: F.min("__min"),
     "max": lambda: F.max("__max"),
     "sum": lambda: F.sum("__sum"),
+    "squares": lambda: F.sum("__squares"),
+}
+#: What ``extra`` may name, with the totals it is worked out from.
+KINDS = {
+    **{kind: (kind,) for kind in ("rows", "missing", "min", "max")},
+    "mean": ("sum",),
+    "variance": ("sum", "squares"),
 }
 
 
@@ -51,8 +58,9 @@ def group_quantiles(
     """Linear-interpolated (type 7) quantiles of ``value`` per ``keys``.
 
     ``quantiles`` names the output columns; ``extra`` names further ones, each "rows",
-    "missing", "min", "max" or "mean" of the same group. NaN counts as missing. With ``weight``
-    a row stands for that many equal rows, one at least. A missing key is a group of its own.
+    "missing", "min", "max", "mean" or "variance" (divisor n - 1; it loses digits where values differ by
+    far less than their size) of the same group. NaN counts as missing. With ``weight`` a row
+    stands for that many equal rows, one at least. A missing key is a group of its own.
     """
     if na not in ("skip", "propagate"):
         raise ValueError(f"unknown policy {na!r}")
@@ -94,7 +102,7 @@ def _found(
     counted = rows.groupBy("__g", "__x").agg(F.sum("__w").alias("__c"))
     laid = counted.withColumn("__b", _bucket(F.col("__x"))).repartition("__g", "__b")
 
-    parts = {"sum" if kind == "mean" else kind for kind in extra.values()} | {"missing"}
+    parts = {part for kind in extra.values() for part in KINDS[kind]} | {"missing"}
     totals = [f"__t_{kind}" for kind in sorted(parts)]
     known = F.col("__x").isNotNull()
     buckets = laid.groupBy("__g", "__b").agg(
@@ -103,6 +111,7 @@ def _found(
         F.min("__x").alias("__min"),
         F.max("__x").alias("__max"),
         F.sum(F.col("__x") * F.col("__c")).alias("__sum"),
+        F.sum(F.col("__x") * F.col("__x") * F.col("__c")).alias("__squares"),
     )
     in_order = Window.partitionBy("__g").orderBy("__b")
     # Ordered as well, so that one sort serves both.
@@ -168,6 +177,12 @@ def _found(
         )
     columns = [F.col(f"__q{i}").alias(name) for i, name in enumerate(quantiles)]
     for name, kind in extra.items():
-        total = F.try_divide(F.col("__t_sum"), n) if kind == "mean" else F.col(f"__t_{kind}")
+        if kind == "mean":
+            total = F.try_divide(F.col("__t_sum"), n)
+        elif kind == "variance":
+            apart = F.col("__t_squares") - F.try_divide(F.col("__t_sum") * F.col("__t_sum"), n)
+            total = F.try_divide(F.greatest(apart, F.lit(0.0)), n - 1)
+        else:
+            total = F.col(f"__t_{kind}")
         columns.append(total.alias(name))
     return valued.select(*[F.col("__g")[k].alias(k) for k in keys], *columns)
