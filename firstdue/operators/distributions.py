@@ -12,6 +12,8 @@ from firstdue.operators.quantiles import group_quantiles
 # Of a class width: what counts as lying on a break, when the breaks are chosen and
 # when values are counted.
 BREAK_EDGE, COUNT_EDGE = 1e-10, 1e-7
+# The same for bins of a given width.
+BIN_EDGE = 1e-8
 
 
 def six_number_summary(
@@ -30,21 +32,34 @@ def six_number_summary(
 
 
 def centred_bin(x: Column, width: float = 0.5) -> Column:
-    """Number of the right-closed bin whose centre is a multiple of ``width``."""
-    return F.ceil((x - width / 2) / width).cast("long")
+    """Number of the right-closed bin whose centre is a multiple of ``width``.
+
+    A value within 1e-8 of a width of an edge lies on it, and so in the bin below: most widths and
+    edges, such as 0.1 and 0.35, are not exact in binary.
+    """
+    return F.ceil(x / width - 0.5 - BIN_EDGE).cast("long")
 
 
 def histogram(
-    df: DataFrame, value: str, facet: str | None = None, width: float = 0.5
+    df: DataFrame, value: str, facet: str | None = None, width: float = 0.5, closed_lowest: bool = False
 ) -> DataFrame:
-    """Counts per bin of fixed width, optionally per facet."""
+    """Counts per bin of fixed width, optionally per facet.
+
+    ``closed_lowest`` puts values exactly on the lowest edge of all data into the first bin, which is the
+    one above: no bin is opened for them alone. The lowest value comes from the counted bins.
+    """
     keys = [facet] if facet else []
-    return (
+    counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, centred_bin(F.col(value), width).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("centre", F.col("bin") * F.lit(width))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("__low"))
     )
+    if closed_lowest:
+        low = counted.agg(F.min("__low")).scalar()
+        first = F.floor(F.col("__low") / width - 0.5 + BIN_EDGE).cast("long") + 1
+        moved = counted.withColumn("__low", low).withColumn("bin", F.greatest("bin", first))
+        counted = moved.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    return counted.select(*keys, "bin", "n").withColumn("centre", F.col("bin") * F.lit(width))
 
 
 def pretty_breaks(n: Column, low: Column, high: Column) -> dict[str, Column]:

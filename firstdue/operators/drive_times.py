@@ -62,6 +62,28 @@ def parse_answers(answers: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def answer_faults(answers: DataFrame, body: str = "body") -> DataFrame:
+    """Answers that give no drive time, with the ``reason`` and the ``body`` as it came.
+
+    Reasons: "missing" (no text), "json" (not an object in JSON), "rows" (no first row or element),
+    "duration" (an element without a duration in traffic-free time). An answer without
+    ``duration_in_traffic`` is good. Every other column comes along, such as the file it was read from.
+    """
+    schema = ANSWER_SCHEMA.removesuffix(">") + ", __raw: string>"
+    parsed = F.from_json(body, schema, {"columnNameOfCorruptRecord": "__raw"})
+    element = F.get(F.get(F.col("__parsed.rows"), 0)["elements"], 0)
+    reason = (
+        F.when(F.col(body).isNull() | (F.trim(body) == ""), "missing")
+        .when(F.col("__parsed").isNull() | F.col("__parsed.__raw").isNotNull(), "json")
+        .when(element.isNull(), "rows")
+        .when(element["duration"]["value"].isNull(), "duration")
+    )
+    marked = answers.withColumn("__parsed", parsed).withColumn("reason", reason)
+    return marked.filter(F.col("reason").isNotNull()).select(
+        *[c for c in answers.columns if c != body], "reason", body
+    )
+
+
 def drive_time_matrix(
     times: DataFrame,
     key: str = "full_address",

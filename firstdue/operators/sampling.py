@@ -1,4 +1,4 @@
-"""Repeatable sample and distributed row numbers."""
+"""Repeatable sample, distributed row numbers and numbers that stay."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firstdue.functions.nulls import paste
+from firstdue.sources.saves import read_latest, save, saved_numbers
 
 
 def seeded_sample(
@@ -80,3 +81,31 @@ def with_row_number(df: DataFrame, key: str, name: str, pieces: int | None = Non
         .withColumn(name, F.element_at("__starts", F.col("__piece")) + F.col("__within"))
         .drop("__piece", "__within", "__starts")
     )
+
+
+def extend_numbers(
+    df: DataFrame, path: str, key: str, name: str, load: int | None = None
+) -> DataFrame:
+    """The numbers of all keys seen so far: ``key, name, load``, stored in ``path``.
+
+    Keys of ``df`` that are new get the next numbers, in order of the key; a key keeps the number that it
+    got first. The numbers run from 1 without gaps. Each call is a numbered save (``load``, by default the next one): a load
+    that is repeated adds nothing. A load that was interrupted left nothing, and may run again. Missing
+    keys get no number. Loads come one after the other.
+    """
+    spark = df.sparkSession
+    known = saved_numbers(spark, path)
+    load = load or max(known, default=0) + 1
+    if load not in known:
+        keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
+        last = F.lit(0).cast("long")
+        if known:
+            before = read_latest(spark, path, [key])
+            keys = keys.join(before, key, "left_anti")
+            last = before.agg(F.coalesce(F.max(name), F.lit(0)).cast("long")).scalar()
+        numbered = with_row_number(keys, key, name).withColumn("__last", last)
+        save(
+            numbered.select(key, (F.col("__last") + F.col(name)).alias(name), F.lit(load).cast("long").alias("load")),
+            path, load,
+        )
+    return read_latest(spark, path, [key])

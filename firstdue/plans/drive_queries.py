@@ -14,7 +14,7 @@ from firstdue.plans.checks import r, register, rounded, sql, t_tail_sql
 from firstdue.plans.siting import nearest_station_table, siting_table
 from firstdue.session import work_dir
 from firstdue.sources import adapters as A
-from firstdue.sources.files import read_drive_times, save_drive_times
+from firstdue.sources.files import compact_drive_times, read_drive_times, save_drive_times
 
 KEY = ", ".join(A.RESPONSE_KEY)
 NEAREST = ["JW_and_FiveFifteen", "JW_and_Lowell", "Union_and_Lowell"]
@@ -39,7 +39,9 @@ def _(spark, folder):
 @register(
     "drive_time_pending",
     sql(
-        "select p.addr_id, p.n, s.station from (select addr_id, count(*) as n from fd "
+        "select p.addr_id, p.n, p.destination, s.station, concat('at ', s.station) as origin from "
+        "(select addr_id, count(*) as n, replace(min(concat(cast(round(lat, 6) as varchar), ', ', "
+        "cast(round(lon, 6) as varchar))), ' ', '') as destination from fd "
         "where is_first = 1 and lon is not null group by addr_id) p "
         f"cross join (select unnest([{', '.join(repr(s) for s in A.STATIONS)}]) as station) s "
         "anti join (select addr_id, station from drive_times "
@@ -59,12 +61,52 @@ def _(spark, folder):
     rows = A.responses(spark, folder).filter(
         (F.col("is_first") == 1) & F.col("lon").isNotNull()
     )
-    wanted = drive_times.destinations(rows, "addr_id")
-    names = {s: s for s in A.STATIONS}
-    pending = drive_times.pending_pairs(
+    places = rows.withColumns({c: F.round(c, 6) for c in ("lat", "lon")})
+    wanted = drive_times.destinations(places, "addr_id")
+    names = {s: f"at {s}" for s in A.STATIONS}
+    return drive_times.pending_pairs(
         wanted, read_drive_times(spark, path, "addr_id"), "addr_id", names
+    ).select("addr_id", "n", "destination", "station", "origin")
+
+
+@register(
+    "drive_time_saves",
+    sql(
+        f"select addr_id, station, {r('minutes')} as minutes from (select addr_id, station, case "
+        "when station = 'HQ' and addr_id % 3 = 0 then minutes + 2 "
+        "when station = 'Lowell' and addr_id % 2 = 0 then minutes + 1 else minutes end as minutes "
+        "from drive_times where station in ('HQ', 'Lowell') or (station = 'Teele' and addr_id % 2 = 0))"
+    ),
+)
+def _(spark, folder):
+    # Two look-ups, the second run twice; all of it compacted; a third one corrects some.
+    times = A.drive_times(spark, folder).select("addr_id", "station", "minutes")
+    path = work_dir(spark, "drive_times")
+    more = lambda n: times.withColumn("minutes", F.col("minutes") + n)
+    save_drive_times(times.filter("station in ('HQ', 'Lowell')"), path, 1)
+    second = times.filter("station = 'Teele'").union(more(1).filter("station = 'Lowell'"))
+    for _ in range(2):
+        save_drive_times(second.filter("addr_id % 2 = 0"), path, 2)
+    compact_drive_times(spark, path, "addr_id")
+    save_drive_times(more(2).filter("station = 'HQ' and addr_id % 3 = 0"), path, 3)
+    return rounded(read_drive_times(spark, path, "addr_id"), "minutes").select("addr_id", "station", "minutes")
+
+
+@register(
+    "answer_faults",
+    "select vec_id as addr_id, [case when vec_id % 7 = 1 then 'missing' when vec_id % 7 = 2 then 'json' "
+    "when vec_id % 7 = 3 then 'rows' else 'duration' end][1] as reason from embeddings "
+    "where vec_id % 7 in (1, 2, 3, 4)",
+)
+def _(spark, folder):
+    # Answers of one station, four sevenths of them spoilt in one way each.
+    kind = F.col("addr_id") % 7
+    body = (
+        F.when(kind == 1, "").when(kind == 2, F.substring("body", 1, 30)).when(kind == 3, '{"rows":[]}')
+        .when(kind == 4, '{"rows":[{"elements":[{"status":"ZERO_RESULTS"}]}]}').otherwise(F.col("body"))
     )
-    return pending.select("addr_id", "n", "station")
+    landed = A.answers(spark, folder).filter("station = 'HQ'").withColumn("body", body)
+    return drive_times.answer_faults(landed).select("addr_id", "reason")
 
 
 PLAIN = [f"from_{s}" for s in A.STATIONS]

@@ -19,7 +19,7 @@ from firstdue.operators.significance import with_welch_p_value
 from firstdue.plans.checks import r, register, rounded, sql, t_tail_sql
 from firstdue.sources import adapters as A
 from firstdue.sources import tables
-from firstdue.sources.files import read_csv, save_responses, write_csv
+from firstdue.sources.files import read_csv, read_csv_checked, save_responses, write_csv
 from firstdue.session import work_dir
 
 KEY = ", ".join(A.RESPONSE_KEY)
@@ -189,6 +189,53 @@ def _(spark, folder):
     return rounded(read_csv(spark, path, schema), "resp_time")
 
 
+SPOILT = (
+    "select l_orderkey as id, concat('U', cast(l_suppkey % 8 as varchar)) as unit, "
+    "l_orderkey % 11 = 0 as wordy, l_orderkey % 13 = 0 as longer, l_extendedprice / 10000 as x from lineitem"
+)
+
+
+@register(
+    "csv_good_rows",
+    f"select cast(id as varchar) as incident_id, unit, {r('x')} as resp_time from ({SPOILT}) "
+    "where not wordy and not longer",
+)
+def _(spark, folder):
+    good, _ = read_csv_checked(spark, _spoilt_feed(spark, folder), tables.ARRIVALS, tables.ARRIVALS_NAMES)
+    return rounded(good, "resp_time")
+
+
+@register(
+    "csv_rejects",
+    "select case when longer then 'cells' else 'type' end as reason, "
+    "case when not longer then 'Resp.Time' end as column_name, case when not longer then 'n/a' end as value, "
+    "case when longer then concat_ws(',', id, unit, case when wordy then 'n/a' else '1.5' end, 'more') "
+    "else concat('{\"Incnum\":\"', id, '\",\"Unit\":\"', unit, '\",\"Resp.Time\":\"n/a\"}') end as \"row\", "
+    f"true as has_file from ({SPOILT}) where wordy or longer",
+)
+def _(spark, folder):
+    _, bad = read_csv_checked(spark, _spoilt_feed(spark, folder), tables.ARRIVALS, tables.ARRIVALS_NAMES)
+    return bad.select(
+        "reason", F.col("column").alias("column_name"), "value", "row",
+        F.col("file").endswith(".csv").alias("has_file"),
+    )
+
+
+def _spoilt_feed(spark, folder) -> str:
+    """A feed as text: some times are words, some lines have a cell too many."""
+    x = F.col("resp_time").cast("string")
+    wordy, longer = F.col("incident_id") % 11 == 0, F.col("incident_id") % 13 == 0
+    cells = F.concat_ws(
+        ",", F.col("incident_id").cast("string"), "unit",
+        F.when(wordy, "n/a").when(longer, "1.5").otherwise(x), F.when(longer, "more"),
+    )
+    # The whole line is one cell, written as it is.
+    line = A.arrivals(spark, folder).select(cells.alias("Incnum,Unit,Resp.Time"))
+    path = work_dir(spark, "spoilt")
+    line.write.options(header="true", quote="\u0000", sep="\u0001").csv(path)
+    return path
+
+
 @register(
     "parse_received",
     "select o_orderkey as incident_id, strftime(o_orderdate, '%Y-%m-%d %H:%M') as local_time, "
@@ -417,6 +464,30 @@ def _(spark, folder):
     return sampling.with_row_number(distinct, "full_address", "row_number")
 
 
+@register(
+    "address_dictionary",
+    sql(
+        "select full_address, row_number() over (order by full_address) as number, 1::bigint as load "
+        "from (select distinct full_address from records where incident_id % 2 = 0) "
+        "union all select full_address, (select count(distinct full_address) from records "
+        "where incident_id % 2 = 0) + row_number() over (order by full_address), 2::bigint from ("
+        "select full_address from records group by full_address "
+        "having count(*) filter (incident_id % 2 = 0) = 0)",
+        DISPATCH,
+        _normal(STATE, V1),
+    ),
+)
+def _(spark, folder):
+    # Half of the calls, then all of them, and these once more as after a failure.
+    records = geocoding.normalize_address(A.dispatch(spark, folder), suffix=STATE)
+    path = work_dir(spark, "addresses")
+    sampling.extend_numbers(records.filter("incident_id % 2 = 0"), path, "full_address", "number", 1)
+    sampling.extend_numbers(records, path, "full_address", "number", 2)
+    return sampling.extend_numbers(records, path, "full_address", "number", 2).select(
+        "full_address", "number", "load"
+    )
+
+
 @register(
     "top_addresses",
     sql(
@@ -684,6 +755,20 @@ def _(spark, folder):
     return distributions.histogram(rows, "first_resp", "year")
 
 
+@register(
+    "histogram_tenths",
+    sql(
+        "select unit, cast(greatest(ceil((k - 1) / 2), floor((low - 1) / 2) + 1) as bigint) as bin, "
+        "count(*) as n from (select unit, k, min(k) over () as low from ("
+        "select unit, cast(round(first_resp * 20) as bigint) as k from critical)) group by unit, bin"
+    ),
+)
+def _(spark, folder):
+    # Minutes in twentieths: every second one lies on an edge, which is not exact in binary.
+    rows = _critical(spark, folder).withColumn("x", F.round(F.col("first_resp") * 20) / 20)
+    return distributions.histogram(rows, "x", "unit", 0.1, closed_lowest=True).select("unit", "bin", "n")
+
+
 WELCH = (
     "select n1, n2, mean1, mean2, sqrt(v1/n1 + v2/n2) as std_error, "
     "(mean1 - mean2) / sqrt(v1/n1 + v2/n2) as t, "

@@ -542,6 +542,65 @@ def test_breaks_on_round_numbers(spark):
         assert got[0][1] == pytest.approx(low) and got[-1][2] == pytest.approx(values[-1])
 
 
+# Edges as they are written, and the bin below each: (width, {edge: bin}).
+EDGES = [
+    (0.1, {0.05: 0, 0.15: 1, 0.25: 2, 0.35: 3, 0.45: 4, 0.55: 5, 0.65: 6, 0.75: 7, 1.15: 11, 4.35: 43, 7.05: 70}),
+    (0.2, {0.1: 0, 0.3: 1, 0.5: 2, 0.7: 3, 0.9: 4, 1.1: 5, 1.3: 6, 1.5: 7, 1.7: 8, 4.7: 23, 6.9: 34}),
+    (0.3, {0.15: 0, 0.45: 1, 0.75: 2, 1.05: 3, 1.35: 4, 1.65: 5, 1.95: 6, 2.25: 7, 4.35: 14, 6.75: 22}),
+    (0.5, {0.25: 0, 0.75: 1, 1.25: 2, 7.25: 14}),
+]
+
+
+@pytest.mark.parametrize("width,edges", EDGES)
+def test_values_on_bin_edges(spark, width, edges):
+    df = spark.createDataFrame([(x, b) for x, b in edges.items()], "x double, b long")
+    got = df.select("x", "b", distributions.centred_bin(F.col("x"), width).alias("bin")).collect()
+    assert [r for r in got if r["b"] != r["bin"]] == []
+    past = df.select(distributions.centred_bin(F.col("x") + 1e-6, width).alias("bin"), "b").collect()
+    assert all(r["bin"] == r["b"] + 1 for r in past)
+
+
+def test_the_lowest_edge_opens_no_bin(spark):
+    df = spark.createDataFrame([(0.15, "a"), (0.2, "a"), (0.25, "b"), (None, "b")], "x double, k string")
+    got = rows(distributions.histogram(df, "x", "k", 0.1, closed_lowest=True), "k")
+    assert got == [("a", 2, 2, 0.2), ("b", 2, 1, 0.2)]
+    opened = distributions.histogram(df, "x", None, 0.1)
+    assert rows(opened.select("bin", "n"), "bin") == [(1, 1), (2, 2)]
+    assert distributions.histogram(df.limit(0), "x", closed_lowest=True).count() == 0
+
+
+def test_answer_faults(spark):
+    good = '{"rows":[{"elements":[{"duration":{"value":60}}]}]}'
+    bodies = [
+        (None, "missing"), (" ", "missing"), ("{bad", "json"), ("[]", "json"), ("3", "json"), ("{}", "rows"),
+        ('{"rows":[]}', "rows"), ('{"rows":[{"elements":[{"status":"NOT_FOUND"}]}]}', "duration"),
+        (good.replace("60", '"x"'), "json"), (good, None), (good.replace("duration", "other"), "duration"),
+    ]
+    df = spark.createDataFrame([(i, b, f"f{i}") for i, (b, _) in enumerate(bodies)], "k int, body string, file string")
+    faults = drive_times.answer_faults(df)
+    assert faults.columns == ["k", "file", "reason", "body"]
+    got = {r["k"]: (r["reason"], r["file"], r["body"]) for r in faults.collect()}
+    assert got == {i: (why, f"f{i}", b) for i, (b, why) in enumerate(bodies) if why}
+    times = {r["k"]: r["minutes"] for r in drive_times.parse_answers(df).collect()}
+    assert all((times[i] is None) == (why is not None) for i, (_, why) in enumerate(bodies))
+
+
+def test_numbers_stay_over_loads(spark, tmp_path):
+    path = str(tmp_path / "numbers")
+
+    def load(number, *keys):
+        df = spark.createDataFrame([(k,) for k in keys], "address string")
+        out = sampling.extend_numbers(df, path, "address", "number", number)
+        return {r["address"]: (r["number"], r["load"]) for r in out.collect()}
+
+    first = load(1, "m", "c", "m", None)
+    assert first == {"c": (1, 1), "m": (2, 1)}
+    second = load(2, "z", "a", "m", "b")
+    assert second == {**first, "a": (3, 2), "b": (4, 2), "z": (5, 2)}
+    assert load(2, "q", "r") == second  # a repeated load adds nothing
+    assert load(None) == second and load(None, "y") == {**second, "y": (6, 4)}
+
+
 def test_density_sums_to_one(spark):
     corners = [(-9.0, -9.0), (9.0, 9.0)]
     draw = np.random.default_rng(4)

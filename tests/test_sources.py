@@ -4,9 +4,10 @@ from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from firstdue.session import work_dir
-from firstdue.sources import files, tables
+from firstdue.sources import files, saves, tables
 
 
 def test_csv_missing_and_blank(spark, tmp_path):
@@ -47,6 +48,99 @@ def test_saves_add_up_and_the_latest_wins(spark, tmp_path):
     ]
 
 
+TIMES = "full_address string, station string, minutes double"
+
+
+def latest(spark, path):
+    got = files.read_drive_times(spark, path).select("full_address", "station", "minutes")
+    return sorted(map(tuple, got.collect()))
+
+
+def test_a_repeated_save_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "times")
+    save = lambda number, *data: files.save_drive_times(spark.createDataFrame(data, TIMES), path, number)
+    assert save(None, ("a", "HQ", 1.0)) == 1 and save(None, ("b", "HQ", 2.0)) == 2
+    before = sorted(p.name for p in (tmp_path / "times").rglob("*"))
+    assert save(2, ("b", "HQ", 7.0), ("c", "HQ", 8.0)) == 2
+    assert sorted(p.name for p in (tmp_path / "times").rglob("*")) == before
+    assert latest(spark, path) == [("a", "HQ", 1.0), ("b", "HQ", 2.0)]
+    # Numbers need not come in order: the higher one wins.
+    assert save(9, ("a", "HQ", 5.0)) == 9 and save(4, ("a", "HQ", 4.0), (None, "HQ", 3.0)) == 4
+    assert saves.saved_numbers(spark, path) == [1, 2, 4, 9]
+    assert files.read_drive_times(spark, path).filter("full_address is null").count() == 1
+    with pytest.raises(ValueError, match="nothing is saved"):
+        files.read_drive_times(spark, str(tmp_path / "none"))
+
+
+def test_compaction_keeps_the_latest_and_what_comes_after(spark, tmp_path):
+    path = str(tmp_path / "times")
+    save = lambda *data: files.save_drive_times(spark.createDataFrame(data, TIMES), path)
+    save(("a", "HQ", 1.0), ("b", "HQ", 2.0), ("a", "Union", 3.0), (None, "HQ", 0.5))
+    save(("a", "HQ", 9.0), ("c", "HQ", 4.0))
+    wanted = files.read_drive_times(spark, path).collect()
+    assert files.compact_drive_times(spark, path) == 2
+    key = lambda rows: sorted(map(repr, (r.asDict() for r in rows)))
+    assert key(files.read_drive_times(spark, path).collect()) == key(wanted)
+    # The compacted table is read as it is.
+    plan = files.read_drive_times(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert files.compact_drive_times(spark, path) == 2 and save(("a", "HQ", 0.0), (None, "HQ", 7.0)) == 3
+    got = {(r["full_address"], r["station"]): r["minutes"] for r in files.read_drive_times(spark, path).collect()}
+    assert got == {("a", "HQ"): 0.0, ("b", "HQ"): 2.0, ("a", "Union"): 3.0, ("c", "HQ"): 4.0, (None, "HQ"): 7.0}
+    # A save that the compaction has taken in adds nothing, even after its folder is gone.
+    saves.drop_replaced(spark, path)
+    assert saves.saved_numbers(spark, path) == [2, 3]
+    files.save_drive_times(spark.createDataFrame([("z", "HQ", 1.0)], TIMES), path, 1)
+    assert files.read_drive_times(spark, path).count() == 5
+    assert files.compact_drive_times(spark, path) == 3
+    saves.drop_replaced(spark, path)
+    assert files.read_drive_times(spark, path).count() == 5
+
+
+def test_interrupted_jobs_lose_nothing(spark, tmp_path):
+    path = str(tmp_path / "times")
+    save = lambda number, *data: files.save_drive_times(spark.createDataFrame(data, TIMES), path, number)
+    save(1, ("a", "HQ", 1.0))
+    save(2, ("b", "HQ", 2.0))
+    # As a save and a compaction leave it that end before their last step.
+    unmark = lambda kind, n: (tmp_path / f"times/save_kind={kind}/save_number={n}/_SUCCESS").unlink()
+    unmark("save", 2)
+    assert latest(spark, path) == [("a", "HQ", 1.0)]
+    save(2, ("b", "HQ", 3.0))
+    files.compact_drive_times(spark, path)
+    unmark("whole", 2)
+    assert latest(spark, path) == [("a", "HQ", 1.0), ("b", "HQ", 3.0)]
+    saves.drop_replaced(spark, path)  # nothing is replaced yet
+    assert latest(spark, path) == [("a", "HQ", 1.0), ("b", "HQ", 3.0)]
+    assert files.compact_drive_times(spark, path) == 2
+    assert latest(spark, path) == [("a", "HQ", 1.0), ("b", "HQ", 3.0)]
+
+
+def test_bad_csv_rows_go_to_a_second_table(spark, tmp_path):
+    path = tmp_path / "arrivals.csv"
+    path.write_text(
+        'Incnum,Unit,Resp.Time,n\n1,"E3",2.5,3\n2,,NA,\n3,"",bad,x\n4,NA,4,5\n5,short\n6,E1,7,1,more\n'
+        '7,"a,""b""", ,NA\n\n'
+    )
+    schema = StructType([*tables.ARRIVALS.fields, StructField("n", IntegerType())])
+    good, bad = files.read_csv_checked(spark, str(path), schema, tables.ARRIVALS_NAMES)
+    assert [tuple(r) for r in good.collect()] == [
+        ("1", "E3", 2.5, 3), ("2", "", None, None), ("4", None, 4.0, 5), ("7", 'a,"b"', None, None),
+    ]
+    rows = sorted((r["reason"], r["column"] or "", r["value"] or "", r["row"]) for r in bad.collect())
+    spoilt = '{"Incnum":"3","Resp.Time":"bad","n":"x"}'
+    assert rows == [
+        ("cells", "", "", "5,short"), ("cells", "", "", "6,E1,7,1,more"),
+        ("type", "Resp.Time", "bad", spoilt), ("type", "n", "x", spoilt),
+    ]
+    assert {r["file"].rsplit("/", 1)[1] for r in bad.collect()} == {"arrivals.csv"}
+    # All rows, as before, with their file.
+    every = files.read_csv(spark, str(path), schema, tables.ARRIVALS_NAMES, file="source")
+    assert every.count() == 7 and every.filter("source like '%arrivals.csv'").count() == 7
+    with pytest.raises(ValueError, match="no column Nature"):
+        files.read_csv_checked(spark, str(path), StructType([StructField("Nature", StringType())]))
+
+
 def test_csv_columns_are_found_by_name(spark, tmp_path):
     # Row names first, the key after, further columns between.
     path = tmp_path / "locations.csv"
