@@ -6,8 +6,9 @@ the lengths alone are the code table. A document is a row of blocks of ``interva
 padded to whole bytes, with marks: the bit offset of every block. Blocks are decoded independently;
 the decoder walks many side by side, one table look-up per id.
 
-A corpus folder holds ``codes`` (id, n, length, interval) and ``documents`` (shard, doc_id, n_tokens,
-marks, bits). Shards are ranges of doc_id in ascending order.
+A corpus folder holds ``codes`` (id, n, length, interval) and ``documents`` (shard, doc_id, ids_before,
+n_tokens, marks, bits). Shards are ranges of doc_id in ascending order; ``ids_before`` counts the ids of
+the rows that stand before a row in its shard.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,11 +38,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_BITS = 16
 INTERVAL = 1024
 #: Text that a task tokenises at a time; words, parts of words, and bytes of either, whose ids it
-#: remembers before it starts afresh; words in one call of the library.
-CHUNK_BYTES, CACHED_WORDS, CACHED_PIECES = 1 << 20, 400_000, 250_000
+#: remembers before it keeps only those that came up again; words in one call of the library.
+CHUNK_BYTES, CACHED_WORDS, CACHED_PIECES = 4 << 20, 400_000, 250_000
 CACHED_BYTES, CALL_WORDS = 16 << 20, 2048
-#: Blocks that are packed or unpacked at a time.
-BLOCKS = 512
+#: Blocks, and bytes of whole rows, that are packed or unpacked at a time.
+BLOCKS, ROW_BYTES = 512, 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 # The configuration of tokenizers that this module takes apart.
@@ -100,6 +102,7 @@ class _WordIds:
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
         self.by_word = (config["normalizer"], config["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+        self.model = self.tokenizer.model
         self.special = [t["content"] for t in config["added_tokens"]]
         self.pieces: dict[str, bytes] = {}
         self.pieces_held = 0
@@ -110,16 +113,33 @@ class _WordIds:
         self.held = 0
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
+        self.seen = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
+    def _forget(self) -> None:
+        """Keep the words that came up again; all go where that leaves too many."""
+        keep = np.flatnonzero(self.seen > 1)
+        words = list(self.number)
+        words = [words[k] for k in keep.tolist()]
+        held = sum(map(len, words))
+        if len(words) > CACHED_WORDS // 2 or held > CACHED_BYTES // 2:
+            self.clear()
+            return
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes)
+        source = np.repeat(self.starts[keep] - ends + sizes, sizes) + np.arange(sizes.sum())
+        self.ids, self.starts, self.sizes = self.ids[source], ends - sizes, sizes
+        self.seen = np.ones(len(words), np.int32)
+        self.number, self.held = dict(zip(words, range(len(words)), strict=True)), held
+
     def _piece(self, piece: str) -> bytes:
         """Ids of a pre-token, as native unsigned 32-bit numbers."""
         ids = self.pieces.get(piece)
         if ids is None:
             if len(self.pieces) >= CACHED_PIECES or self.pieces_held > CACHED_BYTES:
                 self.pieces, self.pieces_held = {}, 0
-            found = self.tokenizer.model.tokenize(piece.translate(BYTE_CHARACTERS))
-            ids = array("I", [t.id for t in found]).tobytes()
+            written = piece if piece.isascii() and piece.isalpha() else piece.translate(BYTE_CHARACTERS)
+            ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
             self.pieces[piece] = ids
             self.pieces_held += len(piece)
         return ids
@@ -136,14 +156,16 @@ class _WordIds:
                 yield e.ids
 
     def add(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        piece = self._piece
-        found = [
-            b"".join([piece(p) for p in PIECE.findall(t.lower())]) if self._simple(t) else None
-            for t in texts
-        ]
-        rest = [k for k, ids in enumerate(found) if ids is None]
-        for k, ids in zip(rest, self._library([texts[k] for k in rest]), strict=True):
+        piece, found, rest = self._piece, [], []
+        for word in words:
+            if word.isalpha():  # ASCII letters alone: one pre-token
+                found.append(piece(word.lower().decode()))
+            elif self._simple(text := word.decode()):
+                found.append(b"".join([piece(p) for p in PIECE.findall(text.lower())]))
+            else:
+                rest.append(len(found))
+                found.append(b"")
+        for k, ids in zip(rest, self._library([words[k].decode() for k in rest]), strict=True):
             found[k] = array("I", ids).tobytes()
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
@@ -153,22 +175,31 @@ class _WordIds:
         self.held += sum(map(len, words))
         self.starts = np.concatenate([self.starts, starts])
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int32)])
         self.ids = np.concatenate([self.ids, flat])
 
-    def _ids_of(self, words: list[bytes], bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, and how many fall between neighbouring word ``bounds``."""
+    def _ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of ``pieces``, and how many each piece has.
+
+        Arrow splits the pieces and tells equal words, so that each is looked up once.
+        """
         if len(self.number) > CACHED_WORDS or self.held > CACHED_BYTES:
-            self.clear()
+            self._forget()
+        lists = pc.ascii_split_whitespace(pa.array(pieces, pa.binary()).view(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.view(pa.binary()).to_pylist()
         at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(at < 0)
         if len(unknown):
-            missed = [words[k] for k in unknown.tolist()]
-            self.add(list(dict.fromkeys(missed)))
-            at[unknown] = [self.number[w] for w in missed]
+            first = len(self.number)
+            self.add([words[k] for k in unknown.tolist()])
+            at[unknown] = np.arange(first, first + len(unknown))
+        self.seen[at] += 1
+        at = at[coded.indices.to_numpy()]
         sizes = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         source = np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])
-        return self.ids[source], np.diff(ends[bounds])
+        return self.ids[source], np.diff(ends[lists.offsets.to_numpy()])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
@@ -178,22 +209,21 @@ class _WordIds:
             counts[:] = [len(i) for i in found]
             return np.concatenate(found) if found else self.ids[:0], counts
         parts: list[np.ndarray] = []
-        words: list[bytes] = []
+        pieces: list[bytes] = []
         owners: list[int] = []
-        bounds, size = [0], 0
+        size = 0
 
         def flush() -> None:
-            nonlocal words, owners, bounds, size
-            ids, per = self._ids_of(words, bounds)
+            nonlocal pieces, owners, size
+            ids, per = self._ids_of(pieces)
             np.add.at(counts, owners, per)
             parts.append(ids)
-            words, owners, bounds, size = [], [], [0], 0
+            pieces, owners, size = [], [], 0
 
         for number, text in enumerate(texts):
             for piece in _pieces(text):
-                words += piece.split()
+                pieces.append(piece)
                 owners.append(number)
-                bounds.append(len(words))
                 size += len(piece)
                 if size >= CHUNK_BYTES:
                     flush()
@@ -457,8 +487,9 @@ def write_tokens(
     kind = np.dtype(_id_type(vocabulary)).newbyteorder("<")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0  # ids of the shard so far: a task writes one shard, in order
         for batch in batches:
-            for part in _slices(batch, CHUNK_BYTES):
+            for part in _slices(batch, ROW_BYTES):
                 texts = part.column("ids").to_pylist()
                 n = np.array([len(t) // kind.itemsize for t in texts], np.int64)
                 bounds, of_docs = block_bounds(n, interval)
@@ -468,10 +499,12 @@ def write_tokens(
                 lists = pa.ListArray.from_arrays(
                     pa.array(of_docs.astype(np.int32)), pa.array(marks.astype(np.int64))
                 )
+                upto = done + np.cumsum(n)
+                done += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("shard", *place, "doc_id", "n_tokens")), lists,
-                     _binary(cuts, data)],
-                    ["shard", *place, "doc_id", "n_tokens", "marks", "bits"],
+                    [*(part.column(c) for c in ("shard", *place, "doc_id")), pa.array(upto - n),
+                     part.column("n_tokens"), lists, _binary(cuts, data)],
+                    ["shard", *place, "doc_id", "ids_before", "n_tokens", "marks", "bits"],
                 )
 
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -483,7 +516,7 @@ def write_tokens(
     )
     types = _types(documents, [*place, "doc_id"])
     ordered.mapInArrow(
-        run, f"shard int, {types}, n_tokens long, marks array<long>, bits binary"
+        run, f"shard int, {types}, ids_before long, n_tokens long, marks array<long>, bits binary"
     ).write.option("compression", "none").parquet(f"{folder}/documents")
     used = np.flatnonzero(counts)
     spark.createDataFrame(
@@ -494,7 +527,7 @@ def write_tokens(
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """``shard, doc_id, n_tokens, ids`` from the files; ids as little-endian unsigned 32 bits.
+    """``shard, doc_id, ids_before, n_tokens, ids`` from the files; ids as little-endian unsigned 32 bits.
 
     Files that were written by an ``order`` have it as ``place`` after the shard.
     """
@@ -507,7 +540,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, CHUNK_BYTES):
+            for part in _slices(batch, ROW_BYTES):
                 texts = part.column("bits").to_pylist()
                 data = np.frombuffer(b"".join(texts), np.uint8)
                 firsts = np.cumsum([0, *map(len, texts)])[:-1]
@@ -533,8 +566,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def token_index(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the files.
 
-    ``start`` counts the ids of all documents before it: a running sum within each shard,
-    on top of the shards before.
+    ``start`` counts the ids of all documents before it: those before it in its shard, as the files
+    have them, on top of the shards before.
     """
     read = read_tokens(spark, folder)
 
@@ -553,14 +586,9 @@ def token_index(spark: SparkSession, folder: str) -> DataFrame:
     )
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("shard", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    place = [c for c in kept if c == "place"]
-    within = Window.partitionBy("shard").orderBy(*place, "doc_id", "n_tokens", "ids_crc32")
-    before = F.coalesce(
-        F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    placed = rows.withColumn("__before", before).join(bases, "shard")
-    return placed.select(
-        "doc_id", (F.col("__base") + F.col("__before")).alias("start"), "n_tokens", "ids_crc32"
+    # One row per shard.
+    return rows.join(F.broadcast(bases), "shard").select(
+        "doc_id", (F.col("__base") + F.col("ids_before")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 

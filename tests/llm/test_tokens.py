@@ -122,6 +122,43 @@ def test_index_of_odd_rows(spark):
     assert tokens.token_corpus(df.limit(0), PATH).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[1, 1, 1, 1], [None, None, 2, 2], ["b", "a", "a", None]])
+def test_starts_are_those_of_the_file(spark, ids):
+    """Rows with one id: what starts say is where the ids lie in the files."""
+    texts = ["a b", "one two three four five six", "c d e f", "seven " * 50]
+    kind = "string" if isinstance(ids[0], str) else "long"
+    rows = [(i, t) for i, t in zip(ids, texts, strict=True)] * 2
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    out = tokens.write_tokens(df, work_dir(spark, "t"), PATH)
+    read = tokens.read_tokens(spark, out).collect()
+    stream, at = [], {}
+    for r in sorted(read, key=lambda r: (r.shard, r.ids_before)):
+        at.setdefault((r.doc_id, bytes(r.ids)), []).append(len(stream))
+        stream += np.frombuffer(bytes(r.ids), "<u4").tolist()
+    index = tokens.token_index(spark, out).collect()
+    crc = {(d, zlib.crc32(ids)): places for (d, ids), places in at.items()}
+    found = {}
+    for r in index:
+        found.setdefault((r.doc_id, r.ids_crc32), []).append(r.start)
+    assert {k: sorted(v) for k, v in found.items()} == crc
+    # One after the other, without gaps, by rising id.
+    order = sorted(index, key=lambda r: r.start)
+    assert [r.start for r in order] == np.cumsum([0, *[r.n_tokens for r in order]]).tolist()[:-1]
+    known = [r.doc_id for r in order if r.doc_id is not None]
+    assert known == sorted(known) and [r.doc_id for r in order][len(order) - len(known) :] == known
+
+
+def test_words_that_came_up_again_are_kept(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 40)
+    encoder = tokens._WordIds(PATH)
+    for k in range(30):
+        text = " ".join([f"word{k * 25 + i}" for i in range(25)] + ["often", "again", "é字"])
+        ids, counts = encoder.encode([text.encode(), b" often  again\n"])
+        expected = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "often again")]
+        assert ids.tolist() == sum(expected, []) and counts.tolist() == list(map(len, expected))
+    assert b"often" in encoder.number and len(encoder.number) < 100
+
+
 def test_missing_ids_come_first(spark):
     df = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     got = {r.doc_id: r.start for r in tokens.token_corpus(df, PATH).collect()}
