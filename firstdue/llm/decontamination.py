@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firstdue.llm.text import KEY, alnum_words, fenced, row_key
+from firstdue.llm.text import KEY, alnum_words, fenced, row_key, without
 
 WINDOW, K = 13, 5
 #: Fingerprints of the benchmark that are sent to every executor; beyond, the join
@@ -180,6 +180,4 @@ def judge_contamination(
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that are not contaminated, with their columns."""
     bad = judge_contamination(documents, benchmark, **options).filter("contaminated")
-    keys = dict(zip(KEY, row_key(), strict=True))
-    marked = documents.withColumns({name: column for name, column in keys.items()})
-    return marked.join(bad.select(*KEY).distinct(), KEY, "left_anti").select(*documents.columns)
+    return without(documents, bad)

@@ -249,5 +249,11 @@ def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     keyed = documents.select(*row_key(), F.struct(*documents.columns).alias("__row"))
     # A chosen id and hash name one row, or copies of one row.
     kept = keyed.join(first, KEY, "left_semi")
-    one = kept.groupBy(*KEY).agg(F.min("__row").alias("__row"))
+    # Of copies the least row; columns with maps in them have no order and do not decide.
+    ordered = [c for c, kind in documents.dtypes if not re.search(r"\bmap<|variant", kind)]
+    if len(ordered) == len(documents.columns):
+        least = F.min("__row")
+    else:
+        least = F.min_by("__row", F.struct(*[F.col("__row")[c] for c in ordered]))
+    one = kept.groupBy(*KEY).agg(least.alias("__row"))
     return one.select("__row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters; every other character belongs to a word.
@@ -55,13 +55,26 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two columns that name a row by its id and its text.
 
     Rows that agree in both get the same results from every operator that keys
-    its intermediate tables by them, so repeated ids and missing ids are safe.
+    its intermediate tables by them, so repeated ids and missing ids are safe. Ids may have any type that
+    can be text: whole numbers, as text too, stand for themselves and keep their order, others are named
+    and ordered by the hash of their text, and a missing one comes first.
     """
     low = F.lit(-(2**63)).cast("long")
+    name = F.col(doc_id).cast("string")
+    named = F.when(name.isNotNull(), F.coalesce(name.try_cast("long"), F.xxhash64(name)))
     return [
-        F.coalesce(F.col(doc_id).cast("long"), low).alias("__id"),
+        F.coalesce(named, low).alias("__id"),
         F.xxhash64(F.col(text)).alias("__hash"),
     ]
 
 
 KEY = ["__id", "__hash"]
+
+
+def without(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``documents`` whose row key is not in ``keys``, with their columns.
+
+    The columns wait in one value, so that none of them can be taken for a key.
+    """
+    keyed = documents.select(*row_key(), F.struct(*documents.columns).alias("__row"))
+    return keyed.join(keys.select(*KEY).distinct(), KEY, "left_anti").select("__row.*")

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firstdue.llm.text import KEY, row_key
+from firstdue.llm.text import KEY, row_key, without
 
 # Ship these functions with the task: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -398,6 +398,4 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     The model learns from the labels outside the held-out fifth.
     """
     model = fit(documents, labels.filter(~held_out(F.col("doc_id"))), **options)
-    bad = score_toxicity(documents, model).filter("predicted = 1").select(*KEY).distinct()
-    keyed = documents.withColumns(dict(zip(KEY, row_key(), strict=True)))
-    return keyed.join(bad, KEY, "left_anti").select(*documents.columns)
+    return without(documents, score_toxicity(documents, model).filter("predicted = 1"))

@@ -1,0 +1,116 @@
+"""Every operator and stage on odd tables: ids that are text, missing or one for all, maps, clashing names, no rows."""
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from firstdue.llm import (
+    decontamination, exact, licenses, line_dedup, mixing, quality, simhash, tokens, toxicity,
+)
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+TEXTS = [
+    "one two three four five six seven", "one two three four five six seven", "MIT License. Other text here.",
+    None, "", "   ", "bad words " * 30, "x\ny\nx\n\nlonger line of words here", "é 字 😀", "tail of the list",
+]
+IDS = {
+    "whole": ("long", list(range(10))),
+    "text": ("string", [f"doc-{i}" for i in range(8)] + ["7", " 7"]),
+    "missing": ("long", [None] * 5 + list(range(5))),
+    "one": ("string", ["same"] * 10),
+    "large": ("decimal(38,0)", [10**30 + i for i in range(10)]),
+}
+# Columns with the names that operators use on the way.
+EXTRA = (
+    "lang string, source string, n_chars long, tags map<string,string>, __id string, __hash string, "
+    "__row string, __rank string, __time string, shard string, id string, row string, sha string"
+)
+
+
+def documents(spark, ids, rows=True):
+    kind, values = IDS[ids]
+    data = [
+        (i, t, "en", "ab"[k % 2], k, {"k": "v"}, *["z"] * 9)
+        for k, (i, t) in enumerate(zip(values, TEXTS, strict=True))
+    ]
+    if kind.startswith("decimal"):
+        from decimal import Decimal
+
+        data = [(Decimal(d[0]), *d[1:]) for d in data]
+    return spark.createDataFrame(data if rows else [], f"doc_id {kind}, text string, {EXTRA}").repartition(3)
+
+
+def labels(spark, ids, column):
+    kind, values = IDS[ids]
+    known = [(str(v), k % 2) for k, v in enumerate(values) if v is not None]
+    df = spark.createDataFrame(known, f"doc_id string, {column} int")
+    return df.select(F.col("doc_id").cast(kind).alias("doc_id"), column)
+
+
+def benchmark(spark):
+    return spark.createDataFrame([("q1", TEXTS[0]), ("q2", None), ("q3", "")], "item_id string, text string")
+
+
+def judged_toxic(spark, docs, ids):
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, labels(spark, ids, "toxic")))
+
+
+def judged_quality(spark, docs, ids):
+    return quality.judge_quality(docs, quality.fit_rules(docs, labels(spark, ids, "quality")))
+
+
+JUDGES = {
+    "op1": judged_toxic,
+    "op2": lambda spark, docs, ids: mixing.plan_mix(docs),
+    "op3": lambda spark, docs, ids: decontamination.judge_contamination(docs, benchmark(spark)),
+    "op4": lambda spark, docs, ids: tokens.token_corpus(docs, PATH),
+    "op5": lambda spark, docs, ids: line_dedup.dedup_lines(docs),
+    "op6": lambda spark, docs, ids: licenses.scan_licenses(docs),
+    "op9": judged_quality,
+    "op10": lambda spark, docs, ids: simhash.near_duplicates(docs),
+    "op13": lambda spark, docs, ids: exact.mark_copies(docs),
+}
+
+
+@pytest.mark.parametrize("ids", IDS)
+@pytest.mark.parametrize("name", JUDGES)
+def test_every_row_is_judged(spark, name, ids):
+    docs = documents(spark, ids)
+    got = JUDGES[name](spark, docs, ids)
+    wanted = sorted(repr(r[0]) for r in docs.select("doc_id").collect())
+    assert sorted(repr(r["doc_id"]) for r in got.collect()) == wanted
+
+
+@pytest.mark.parametrize("name", JUDGES)
+def test_no_rows_give_no_rows(spark, name):
+    docs = documents(spark, "text", rows=False)
+    assert JUDGES[name](spark, docs, "text").count() == 0
+
+
+KEEPERS = {
+    "toxicity": lambda spark, docs, ids: toxicity.drop_toxic(docs, labels(spark, ids, "toxic")),
+    "near-dedup": lambda spark, docs, ids: simhash.drop_near_duplicates(docs),
+    "decontamination": lambda spark, docs, ids: decontamination.drop_contaminated(docs, benchmark(spark)),
+    "mixing": lambda spark, docs, ids: mixing.mix_documents(docs),
+    "exact": lambda spark, docs, ids: exact.drop_exact_copies(docs),
+}
+
+
+@pytest.mark.parametrize("ids", IDS)
+@pytest.mark.parametrize("name", KEEPERS)
+def test_stages_return_the_columns_they_got(spark, name, ids):
+    docs = documents(spark, ids)
+    got = KEEPERS[name](spark, docs, ids)
+    assert got.columns == docs.columns
+    rows = [repr(r.asDict()) for r in got.collect()]
+    assert set(rows) <= {repr(r.asDict()) for r in docs.collect()} and len(rows) <= 2 * len(TEXTS)
+    if name == "exact":
+        assert len(rows) == len({t or "" for t in TEXTS})
+
+
+def test_stages_are_the_operators_above():
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "toxicity", "SimHash near-dedup", "benchmark decontamination", "mixing sources to target weights",
+        "token-ID / binary output",
+    ]
