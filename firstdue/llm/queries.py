@@ -16,6 +16,26 @@ _WORD = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _FOLD = f"'{UPPER}', '{LOWER}'"
 
+
+
+def _times_sql() -> str:
+    """Cases of the time at which a source's schedule has asked for ``share`` of its words."""
+    cases = []
+    for place, knots in enumerate(mixing.SCHEDULES):
+        pieces = list(zip(knots, knots[1:], strict=False))
+        areas = [(t1 - t0) * (y0 + y1) / 2 for (t0, y0), (t1, y1) in pieces]
+        wanted, done, times = f"(share * {sum(areas)!r}::double)", 0.0, ""
+        for ((t0, y0), (t1, y1)), area in zip(pieces, areas, strict=True):
+            left = f"({wanted} - {done!r}::double)"
+            inner = f"{y0 * y0!r}::double + {2 * (y1 - y0) / (t1 - t0)!r}::double * {left}"
+            divisor = f"({y0!r}::double + sqrt(greatest(0.0::double, {inner})))"
+            inside = f"case when {divisor} > 0 then 2 * {left} / {divisor} else 0 end"
+            done += area
+            times += f" when {wanted} <= {done!r}::double then least({t1!r}::double, {t0!r}::double + {inside})"
+        cases.append(f"when place % {len(mixing.SCHEDULES)} = {place} then case{times} else {knots[-1][0]!r}::double end")
+    return " ".join(cases)
+
+
 OP2_SQL = f"""
 with d as (
   select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as name,
@@ -34,23 +54,27 @@ levels as (
 leveled as (
   select *, max(case when level * w <= full_size then level end) over () as the_level from levels),
 targets as (
-  select source, source_size, least(full_size, the_level * w) as target from leveled),
+  select source, source_size, place, least(full_size, the_level * w) as target from leveled),
 placed as (
-  select d.*, t.source_size, t.target, cast(floor(t.target) as bigint)
+  select d.*, t.source_size, t.target, t.place, cast(floor(t.target) as bigint)
     - coalesce(sum(size) over (partition by d.source order by name, doc_id
         rows between unbounded preceding and 1 preceding), 0) as room
   from d join targets t on t.source is not distinct from d.source)
 select doc_id, size, source_size, target,
   cast(greatest(0, least(size, room)) + greatest(0, least(size, room - source_size)) as bigint)
-    as taken
-from placed
+    as taken,
+  case when first > 0 then case {_times_sql()} end end as position
+from (select *, greatest(0, least(size, room)) as first,
+  (floor(target) - room + greatest(0, least(size, room)) / 2) / target as share from placed)
 """
 
 
 @register("op2_mixing", OP2_SQL)
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, folder, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    plan = plan.select("doc_id", "size", "source_size", "target", "taken", "position")
+    # In the order of training; what is not taken comes last.
+    return plan.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 @register("op2_training_order")
