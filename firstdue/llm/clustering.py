@@ -77,12 +77,12 @@ def nearest(x: np.ndarray, to_pivots: np.ndarray, centroids: np.ndarray, pivots:
     between = np.sqrt(np.stack([squared(pivots, p) for p in pivots], axis=1).astype(float))
     bounds = lower_bounds(to_pivots, of_centroids, between)
     # Start from the centroid that looks nearest; it settles most of the others.
-    label = bounds.argmin(axis=1)
-    distance = squared(x, centroids[label])
+    first = bounds.argmin(axis=1)
+    label, distance = first.copy(), squared(x, centroids[first])
     measured = len(x)
     for c in range(len(centroids)):
         # A bound equal to the distance may be a tie.
-        rows = np.flatnonzero((bounds[:, c] <= distance) & (label != c))
+        rows = np.flatnonzero((bounds[:, c] <= distance) & (first != c))
         if not len(rows):
             continue
         measured += len(rows)
