@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 
 from firstdue.llm import licenses, line_dedup
@@ -11,15 +12,10 @@ DOCS = "doc_id long, text string, line string, kept string"
 
 
 def levenshtein(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
+    return duckdb.execute("select levenshtein(?, ?)", [a, b]).fetchone()[0]
 
 
-def expected(docs, bits=4):
+def expected(docs, bits=4, similarity=0.8):
     """Cleaned texts by comparing all pairs of different normalised lines."""
     first = {}
     for doc, text in docs:
@@ -39,7 +35,7 @@ def expected(docs, bits=4):
         for j in range(i):
             d = sum((x ^ y).bit_count() for x, y in zip(sims[i], sims[j], strict=True))
             longest = max(len(plains[i]), len(plains[j]))
-            if d <= bits and levenshtein(plains[i], plains[j]) <= int(0.2 * longest + 1e-9):
+            if d <= bits and levenshtein(plains[i], plains[j]) <= int((1 - similarity) * longest + 1e-9):
                 root[find(i)] = find(j)
     best = {}
     for i, p in enumerate(plains):
@@ -82,6 +78,54 @@ def test_lines_equal_brute_force(spark, monkeypatch, bucket):
     assert got == want and want != exact  # some lines go that are near, not equal
 
 
+@pytest.mark.parametrize("similarity", [0.97, 0.99, 0.995])
+def test_links_beyond_a_tree(spark, monkeypatch, similarity):
+    monkeypatch.setattr(line_dedup, "BUCKET", 2)
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in "kmpst" for b in ("an", "el", "or", "ita", "umo")]
+    base = [rng.choice(words) for _ in range(300)]
+    docs = []
+    for d in range(40):
+        line = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            line[rng.randrange(300)] = rng.choice(words)
+        docs.append((d, " ".join(line)))
+    df = spark.createDataFrame([(i, t, "x", None) for i, t in docs], DOCS)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, similarity=similarity).collect()}
+    assert got == expected(docs, similarity=similarity)
+
+
+@pytest.mark.parametrize("bucket", [1, 64])
+def test_links_equal_all_pairs_of_bits(spark, monkeypatch, bucket):
+    monkeypatch.setattr(line_dedup, "BUCKET", bucket)
+    rng = random.Random(4)
+    base = [rng.getrandbits(128) for _ in range(6)]
+    sims = [base[i % 6] for i in range(90)]
+    # The first bit of either half, which is the sign of a long, differs in many.
+    sims = [s ^ sum({1 << rng.choice([127, 63, rng.randrange(128)]) for _ in range(rng.randrange(6))}) for s in sims]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(k, signed(s >> 64), signed(s & (1 << 64) - 1)) for k, s in enumerate(sims)]
+    lines = spark.createDataFrame(rows, "key long, high long, low long")
+    pairs, crowded = line_dedup.candidate_links(lines)
+    roots = spark.createDataFrame([], "key long, root long")
+    found = {(r.a, r.b) for r in pairs.collect()}
+    beyond = {(r.a, r.b) for r in line_dedup.links_across(crowded, roots).collect()}
+    want = {
+        (i, j) for j in range(90) for i in range(j) if (sims[i] ^ sims[j]).bit_count() <= 4
+    }
+    assert found | beyond == want and (not beyond) == (bucket == 64)
+
+
+def test_many_variants_of_one_line(spark):
+    rng = random.Random(1)
+    words = [f"{a}{b}{c}" for a in "kmpst" for b in ("an", "el", "or") for c in ("ita", "umo")]
+    base = [rng.choice(words) for _ in range(400)]
+    docs = [(d, " ".join(base[: d % 400] + [f"w{chr(97 + d // 400)}"] + base[d % 400 + 1 :])) for d in range(1000)]
+    df = spark.createDataFrame([(i, t, "x", None) for i, t in docs], DOCS)
+    kept = line_dedup.dedup_lines(df).filter("text <> ''").count()
+    assert kept < 50
+
+
 def test_lines_of_odd_rows(spark):
     rows = [
         (1, "A line, with 12 words.\n\n---\nother", "", None), (2, "a LINE with 34 words", None, ""),
