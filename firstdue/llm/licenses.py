@@ -135,10 +135,11 @@ def line_pattern(known: Sequence[str]) -> str:
 
 
 def recognise_lines(text: Column, known: Sequence[str]) -> Column:
-    """Structs (at, id) as in ``recognise``; sentences may begin and end with a line, too.
+    """Structs (id, gap) of the known sentences; they may begin and end with a line, too.
 
-    The text becomes words with one blank, line break or, where a sentence ends, ``|`` between
-    them. Known sentences are found in it however their lines are wrapped.
+    ``gap`` counts the sentences, or lines, from the known one before to this one. The text
+    becomes words with one blank, line break or, where a sentence ends, ``|`` between them. Known
+    sentences are found in it however their lines are wrapped.
     """
     some = "|".join(map(re.escape, keywords(known)))
     low = F.translate(text, UPPER + "|", LOWER + "-")
@@ -162,17 +163,7 @@ def recognise_lines(text: Column, known: Sequence[str]) -> Column:
     )
     names = F.array(*map(F.lit, known))
     ids = F.transform(found, lambda s: F.array_position(names, F.translate(s, "\n", " ")))
-    steps = F.arrays_zip(ids.alias("id"), F.slice(between, 1, F.size(ids)).alias("gap"))
-    start = F.struct(
-        F.lit(0).alias("sum"), F.expr("cast(array() as array<struct<at: int, id: bigint>>)").alias("all")
-    )
-
-    def add(so_far: Column, step: Column) -> Column:
-        at = so_far["sum"] + step["gap"]
-        one = F.array(F.struct(at.alias("at"), step["id"].alias("id")))
-        return F.struct(at.alias("sum"), F.concat(so_far["all"], one).alias("all"))
-
-    return F.aggregate(steps, start, add, lambda x: x["all"])
+    return F.arrays_zip(ids.alias("id"), F.slice(between, 1, F.size(ids)).alias("gap"))
 
 
 def scan_licenses(
@@ -199,10 +190,14 @@ def scan_licenses(
     found = documents.select(
         *kept, fenced(names_of(blank_if_null(F.col("text")), known)).alias("__found")
     )
+
+    def gap(x: Column, k: Column) -> Column:
+        return x["gap"] if lines else x["at"] - F.get("__found", k - 1)["at"]
+
     steps = F.transform(
         "__found",
         lambda x, k: F.concat(
-            F.when((k > 0) & (x["at"] - F.get("__found", k - 1)["at"] > max_gap), "|").otherwise(""),
+            F.when((k > 0) & (gap(x, k) > max_gap), "|").otherwise(""),
             F.lit("<"), x["id"].cast("string"), F.lit(">"),
         ),
     )

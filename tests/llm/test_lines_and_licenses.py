@@ -204,6 +204,12 @@ def test_licences_of_lines(spark, text, known, names):
     assert (row.n_known, row.licenses, "|" in row.sequence) == (known, names, "filler" in text)
 
 
+def test_many_licence_lines_in_one_text(spark):
+    text = "Licensed under CC BY 4.0\n" * 20_000 + "filler\n" * 9 + "MIT License\n" * 20_000
+    row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert (row.n_known, row.licenses, row.sequence.count("|")) == (40_000, ["CC-BY-4.0", "MIT"], 1)
+
+
 def test_lines_find_what_sentences_find(spark, folder):
     both = QUERIES["op6_licenses"](spark, folder).alias("a").join(
         QUERIES["op6_license_lines"](spark, folder).alias("b"), "doc_id"
