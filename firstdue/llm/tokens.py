@@ -255,8 +255,8 @@ def _word_ids(path: str) -> _WordIds:
 
 
 def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about ``size`` bytes each, or of a row."""
-    rows = max(1, int(len(batch) * size / max(batch.nbytes, 1)))
+    """Slices of a batch, all alike, of about ``size`` bytes each, or of a row."""
+    rows = max(1, -(-len(batch) // max(1, round(batch.nbytes / size))))
     for at in range(0, len(batch), rows):
         yield batch.slice(at, rows)
 

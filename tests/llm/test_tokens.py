@@ -5,13 +5,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from firstdue.llm import tokens
-from firstdue.session import work_dir
+from firstdue.session import tune, work_dir
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -182,3 +183,24 @@ def test_query_equals_the_library(spark, folder):
     rows = sorted(map(tuple, docs.collect()))
     got = sorted(map(tuple, QUERIES["op4_token_files"](spark, folder).collect()))
     assert got == expected_index(rows)
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """A batch of whole texts stands in memory several times, so it follows from bytes and not from rows."""
+    tune(spark)
+    df = spark.range(6000, numPartitions=1).selectExpr("id as doc_id", "repeat('some words ', 300) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    found = df.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in found) == 6000 and max(r.bytes for r in found) < 5 << 20
+
+
+@pytest.mark.parametrize("size", [1, 700, 1000, 1500, 10**6])
+def test_slices_hold_every_row_once(size):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(250))], ["n"])  # 2,000 bytes
+    parts = list(tokens._slices(batch, size))
+    assert [n for p in parts for n in p.column("n").to_pylist()] == list(range(250))
+    assert max(map(len, parts)) <= max(1, 1.5 * size / 8) and len({len(p) for p in parts[:-1]}) <= 1
