@@ -126,6 +126,43 @@ def test_many_variants_of_one_line(spark):
     assert kept < 50
 
 
+@pytest.mark.parametrize("words", [1, 2, 3, 8, 30])
+def test_edited_lines_are_found_whatever_their_bits(spark, words):
+    """Against edit similarity alone, SimHash not asked."""
+    rng = random.Random(words)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
+    docs = []
+    for d in range(60):
+        line = [word() for _ in range(words)]
+        docs.append((3 * d, " ".join(line)))
+        plain = list(" ".join(line))
+        for copy in (1, 2):
+            for _ in range(max(1, len(plain) // 30)):
+                plain[rng.randrange(len(plain))] = rng.choice(letters)
+            docs.append((3 * d + copy, "".join(plain)))
+    df = spark.createDataFrame([(i, t, "x", None) for i, t in docs], DOCS)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, anchored=True).collect()}
+    want = expected(docs, 128)
+    assert got == want and sum(t == "" for t in want.values()) > 5
+
+
+def test_short_lines_share_a_segment_with_all_near_ones():
+    rng = random.Random(2)
+    for _ in range(3000):
+        line = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 25)))
+        other = list(line)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randrange(2)] = rng.choice(["", "a", "b", "c"])
+        other = "".join(other)
+        longest = max(len(line), len(other))
+        if not other or longest > 24 or levenshtein(line, other) > int(0.2 * longest + 1e-9):
+            continue
+        one, two = ({(k, x[a:b]) for k, a, b in line_dedup._segments(len(x), 0.8)} for x in (line, other))
+        assert one & two
+
+
 def test_lines_of_odd_rows(spark):
     rows = [
         (1, "A line, with 12 words.\n\n---\nother", "", None), (2, "a LINE with 34 words", None, ""),
