@@ -1,9 +1,13 @@
 """Line dedup against all pairs, licence scan on hand-made texts."""
 
 import random
+import sys
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from firstdue.llm import licenses, line_dedup
 from firstdue.llm.queries import ORACLE, QUERIES
@@ -163,6 +167,58 @@ def test_short_lines_share_a_segment_with_all_near_ones():
         assert one & two
 
 
+def hashed(texts):
+    rows = range(len(texts))
+    table = pa.table({"__id": pa.array(rows, pa.int64()), "__hash": pa.array(rows, pa.int64()), "text": texts})
+    return [r for b in line_dedup._lines(iter(table.to_batches())) for r in b.to_pylist()]
+
+
+def test_lines_are_hashed_as_one_by_one(monkeypatch):
+    """Many lines at once give what each gives alone, by normalise and a plain count of bits."""
+    rng = random.Random(8)
+    odd = "aB1 _-\t\r\x0b\x00\x85 ΣσςİıßÅ٣²½Ⅷ中文字ﬃ𝟘𝐀\u0307\u0345.é\n "
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(90))) for _ in range(150)]
+    texts += [" ".join(str(rng.random()) for _ in range(n)) for n in (63, 64, 127, 128, 254, 255, 600)]
+    texts += ["", "\n\n", "___", "x " * 2000]
+    want = []
+    for row, text in enumerate(texts):
+        for n, line in enumerate(text.split("\n")):
+            if not (plain := line_dedup.normalise(line)):
+                continue
+            words = plain.encode().split()
+            halves = np.array([divmod(xxhash.xxh3_128_intdigest(w), 1 << 64) for w in words], np.uint64)
+            pairs = line_dedup._pair_hashes(halves[:-1], halves[1:])
+            numbers = [int(a) << 64 | int(b) for a, b in [*halves, *pairs]]
+            sim = sum(1 << k for k in range(128) if 2 * sum(x >> k & 1 for x in numbers) > len(numbers))
+            want.append((row, n, xxhash.xxh3_64_intdigest(plain), sim >> 64, sim & (1 << 64) - 1))
+    for size in (50, 1 << 20):
+        monkeypatch.setattr(line_dedup, "HASHED", size)
+        got = [(r["__id"], r["line"], *(r[c] % (1 << 64) for c in ("key", "high", "low"))) for r in hashed(texts)]
+        assert got == want
+
+
+def test_a_word_of_many_lines_is_hashed_once(monkeypatch):
+    """Lines are normalised together, and words that come again are looked up: a call for each took most of the time."""
+    calls = {"words": 0, "lines": 0}
+
+    def counted(name, function):
+        def run(value):
+            calls[name] += 1
+            return function(value)
+
+        return run
+
+    monkeypatch.setattr(line_dedup.xxhash, "xxh3_128_digest", counted("words", xxhash.xxh3_128_digest))
+    monkeypatch.setattr(line_dedup, "normalise", counted("lines", line_dedup.normalise))
+    assert len(hashed(["Ein Wort, zwei Wörter.\n" * 500] * 2)) == 1000
+    assert calls == {"words": 4, "lines": 0}
+
+
+def test_characters_of_which_normalise_leaves_something():
+    for c in map(chr, range(sys.maxunicode + 1)):
+        assert bool(line_dedup._SOME.search(c)) == bool(line_dedup.normalise(c)), c
+
+
 def test_lines_of_odd_rows(spark):
     rows = [
         (1, "A line, with 12 words.\n\n---\nother", "", None), (2, "a LINE with 34 words", None, ""),
