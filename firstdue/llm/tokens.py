@@ -41,6 +41,8 @@ INTERVAL = 1024
 #: remembers before it keeps only those that came up again; words in one call of the library.
 CHUNK_BYTES, CACHED_WORDS, CACHED_PIECES = 4 << 20, 400_000, 250_000
 CACHED_BYTES, CALL_WORDS = 16 << 20, 2048
+#: New words that are cut into parts at a time.
+CUT_WORDS = 1 << 14
 #: Blocks, and bytes of whole rows, that are packed or unpacked at a time.
 BLOCKS, ROW_BYTES = 512, 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -66,10 +68,14 @@ PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: The same pattern for lower-cased Latin-1 words.
+#: The same pattern for lower-cased Latin-1 words, one in a line; line ends are matches of their own.
 PIECE = re.compile(
-    "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|\n|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\n]+"
 )
+#: What is not Latin-1, and its white space beyond ASCII.
+ODD = re.compile("[^\x00-\x84\x86-\x9f\xa1-\xff]")
+#: Stands for a line end among ids; no vocabulary reaches so far.
+LINE_END = 0xFFFFFFFF
 
 
 def _byte_characters() -> dict[int, str]:
@@ -105,16 +111,25 @@ class _WordIds:
         self.model = self.tokenizer.model
         self.special = [t["content"] for t in config["added_tokens"]]
         self.pieces: dict[str, bytes] = {}
+        self.pieces_again: set[str] = set()
         self.pieces_held = 0
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.held = 0
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.seen = np.zeros(0, np.int32)
+        #: Ids of all words one after the other, and the first byte of each word's, and of the end.
         self.ids = np.zeros(0, np.uint32)
+        self.bounds = np.zeros(1, np.int64)
+        self.seen = np.zeros(0, np.int32)
+
+    def _take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words ``at`` in one array, and the first byte of each word's, and of the end."""
+        buffers = [None, pa.py_buffer(self.bounds), pa.py_buffer(self.ids)]
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.bounds) - 1, buffers)
+        _, bounds, ids = words.take(pa.array(at)).buffers()
+        bounds = np.frombuffer(bounds, np.int64, len(at) + 1)
+        return np.frombuffer(ids or b"", np.uint32, bounds[-1] // 4), bounds
 
     def _forget(self) -> None:
         """Keep the words that came up again; all go where that leaves too many."""
@@ -122,61 +137,79 @@ class _WordIds:
         words = list(self.number)
         words = [words[k] for k in keep.tolist()]
         held = sum(map(len, words))
-        if len(words) > CACHED_WORDS // 2 or held > CACHED_BYTES // 2:
+        if not words or len(words) > CACHED_WORDS // 2 or held > CACHED_BYTES // 2:
             self.clear()
             return
-        sizes = self.sizes[keep]
-        ends = np.cumsum(sizes)
-        source = np.repeat(self.starts[keep] - ends + sizes, sizes) + np.arange(sizes.sum())
-        self.ids, self.starts, self.sizes = self.ids[source], ends - sizes, sizes
+        self.ids, self.bounds = self._take(keep)
         self.seen = np.ones(len(words), np.int32)
         self.number, self.held = dict(zip(words, range(len(words)), strict=True)), held
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a pre-token, as native unsigned 32-bit numbers."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= CACHED_PIECES or self.pieces_held > CACHED_BYTES:
-                self.pieces, self.pieces_held = {}, 0
+    def _forget_pieces(self) -> None:
+        """The same for pre-tokens."""
+        again, self.pieces_again = self.pieces_again, set()
+        self.pieces_held = sum(map(len, again))
+        if len(again) > CACHED_PIECES // 2 or self.pieces_held > CACHED_BYTES // 2:
+            again, self.pieces_held = set(), 0
+        self.pieces = {piece: self.pieces[piece] for piece in again}
+
+    def _ids_by_piece(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of at least these pre-tokens, as native unsigned 32-bit numbers."""
+        if len(self.pieces) + len(pieces) > CACHED_PIECES or self.pieces_held > CACHED_BYTES:
+            self._forget_pieces()
+        known, tokenize = self.pieces, self.model.tokenize
+        new = pieces.difference(known)
+        self.pieces_again |= pieces - new
+        for piece in new:
             written = piece if piece.isascii() and piece.isalpha() else piece.translate(BYTE_CHARACTERS)
-            ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
-            self.pieces[piece] = ids
-            self.pieces_held += len(piece)
-        return ids
-
-    def _simple(self, word: str) -> bool:
-        """Whether a word is all Latin-1, with no white space or special token inside."""
-        if not word.isascii() and (max(word) > "\xff" or "\x85" in word or "\xa0" in word):
-            return False
-        return "<" not in word or not any(t in word for t in self.special)
+            known[piece] = array("I", [t.id for t in tokenize(written)]).tobytes()
+        self.pieces_held += sum(map(len, new))
+        known["\n"] = LINE_END.to_bytes(4, sys.byteorder)
+        return known
+
+    def _rest(self, words: list[bytes], text: str) -> list[int]:
+        """Which words are not all Latin-1, or have white space or a special token inside."""
+        special = [t for t in self.special if t in text]
+        if not special and not ODD.search(text):
+            return []
+        found = (word.decode() for word in words)
+        return [k for k, w in enumerate(found) if ODD.search(w) or any(t in w for t in special)]
 
     def _library(self, texts: list[str]) -> Iterator[list[int]]:
         for at in range(0, len(texts), CALL_WORDS):
             for e in self.tokenizer.encode_batch_fast(texts[at : at + CALL_WORDS], add_special_tokens=False):
                 yield e.ids
 
+    def _cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in one array, and how many each word has."""
+        text = b"\n".join([*words, b""]).decode()
+        rest = self._rest(words, text)
+        if rest:
+            simple = [*words, b""]
+            for k in rest:
+                simple[k] = b""
+            text = b"\n".join(simple).decode()
+        pieces = PIECE.findall(text.lower())
+        known = self._ids_by_piece(set(pieces))
+        ids = np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
+        ends = np.flatnonzero(ids == LINE_END)
+        ids = ids[ids != LINE_END]
+        sizes = np.diff(ends, prepend=-1) - 1
+        if rest:
+            others = [np.array(i, np.uint32) for i in self._library([words[k].decode() for k in rest])]
+            at = np.cumsum(sizes)[rest]
+            sizes[rest] = [len(i) for i in others]
+            ids = np.insert(ids, np.repeat(at, sizes[rest]), np.concatenate(others))
+        return ids, sizes
+
     def add(self, words: list[bytes]) -> None:
-        piece, found, rest = self._piece, [], []
-        for word in words:
-            if word.isalpha():  # ASCII letters alone: one pre-token
-                found.append(piece(word.lower().decode()))
-            elif self._simple(text := word.decode()):
-                found.append(b"".join([piece(p) for p in PIECE.findall(text.lower())]))
-            else:
-                rest.append(len(found))
-                found.append(b"")
-        for k, ids in zip(rest, self._library([words[k].decode() for k in rest]), strict=True):
-            found[k] = array("I", ids).tobytes()
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        cut = [self._cut(words[at : at + CUT_WORDS]) for at in range(0, len(words), CUT_WORDS)]
+        sizes = np.concatenate([sizes for _, sizes in cut])
         first = len(self.number)
         self.number.update(zip(words, range(first, first + len(words)), strict=True))
         self.held += sum(map(len, words))
-        self.starts = np.concatenate([self.starts, starts])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in cut)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + 4 * np.cumsum(sizes)])
         self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int32)])
-        self.ids = np.concatenate([self.ids, flat])
 
     def _ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words of ``pieces``, and how many each piece has.
@@ -187,7 +220,8 @@ class _WordIds:
             self._forget()
         lists = pc.ascii_split_whitespace(pa.array(pieces, pa.binary()).view(pa.string()))
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.view(pa.binary()).to_pylist()
+        # By way of NumPy: Arrow's own lists make a scalar of every value first.
+        words = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(at < 0)
         if len(unknown):
@@ -195,11 +229,8 @@ class _WordIds:
             self.add([words[k] for k in unknown.tolist()])
             at[unknown] = np.arange(first, first + len(unknown))
         self.seen[at] += 1
-        at = at[coded.indices.to_numpy()]
-        sizes = self.sizes[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        source = np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])
-        return self.ids[source], np.diff(ends[lists.offsets.to_numpy()])
+        ids, bounds = self._take(at[coded.indices.to_numpy()])
+        return ids, np.diff(bounds[lists.offsets.to_numpy()]) // 4
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""

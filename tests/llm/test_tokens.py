@@ -160,6 +160,38 @@ def test_words_that_came_up_again_are_kept(monkeypatch):
     assert b"often" in encoder.number and len(encoder.number) < 100
 
 
+def test_new_words_are_cut_many_at_a_time(monkeypatch):
+    """Cutting and looking up words one by one was the larger part of op4's CPU time."""
+    pattern, calls = tokens.PIECE, []
+
+    class Counting:
+        def findall(self, text):
+            calls.append(text)
+            return pattern.findall(text)
+
+    monkeypatch.setattr(tokens, "PIECE", Counting())
+    encoder = tokens._WordIds(PATH)
+    text = " ".join(f"Wörd{k},it's" for k in range(3000))
+    ids, counts = encoder.encode([text.encode()])
+    assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("cut", [1, 2, 5, 1 << 14])
+def test_words_of_the_library_keep_their_places(monkeypatch, cut):
+    monkeypatch.setattr(tokens, "CUT_WORDS", cut, raising=False)
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 12)
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 8)
+    encoder = tokens._WordIds(PATH)
+    odd = ["\x85", "字", "é", "x\xa0y", "\xa0", "plain", "<|endoftext|>", "<|", "a'll", "12", "Σ", "\x85\x85"]
+    for k in range(len(odd)):
+        words = odd[k:] + [w + str(k) for w in odd] + odd[:k]
+        texts = ["\x85", " ".join(words), "", "\n".join(reversed(words))]
+        ids, counts = encoder.encode([t.encode() for t in texts])
+        expected = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(expected, []) and counts.tolist() == list(map(len, expected))
+
+
 def test_missing_ids_come_first(spark):
     df = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     got = {r.doc_id: r.start for r in tokens.token_corpus(df, PATH).collect()}
