@@ -343,10 +343,10 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                counts += np.bincount(
-                    np.frombuffer(ids.as_buffer(), kind), minlength=vocabulary
-                )
+            for part in _slices(batch, ROW_BYTES):
+                # Many rows at a time: every count is as long as the vocabulary.
+                ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), kind)
+                counts += np.bincount(ids, minlength=vocabulary)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
@@ -468,23 +468,28 @@ def unpack(
 
 
 def _unpack(data, starts, counts, table, lengths) -> np.ndarray:
-    """Decode blocks side by side: the n-th id of each, from n = 0 on."""
+    """Decode blocks side by side: the n-th id of each, from n = 0 on, the longest block first."""
     width = int(table.size).bit_length() - 1
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint32)
     # Four bytes from any byte on, so that a look-up is one shift of one number.
     quads = (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]
+    sizes, mask = lengths[table].astype(np.int64), np.uint32((1 << width) - 1)
     order = np.argsort(-counts, kind="stable")
     at, left = starts[order].copy(), counts[order]
-    begin = (np.cumsum(counts) - counts)[order]
-    out = np.zeros(int(counts.sum()), np.int64)
-    for step in range(int(left.max(initial=0))):
-        n = int(np.searchsorted(-left, -step, side="left"))
+    alive = np.searchsorted(-left, -np.arange(left.max(initial=0)), side="left")
+    firsts = np.cumsum(alive) - alive
+    peeks = np.zeros(int(counts.sum()), np.uint32)
+    for first, n in zip(firsts.tolist(), alive.tolist(), strict=True):
         here = at[:n]
-        peek = (quads[here >> 3] >> (32 - width - (here & 7)).astype(np.uint32)) & ((1 << width) - 1)
-        ids = table[peek]
-        out[begin[:n] + step] = ids
-        at[:n] += lengths[ids]
-    return out
+        peek = quads.take(here >> 3)
+        peek >>= (32 - width - (here & 7)).astype(np.uint32)
+        peek &= mask
+        peeks[first : first + n] = peek
+        here += sizes.take(peek)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    nth = np.arange(len(peeks)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return table[peeks[firsts[nth] + np.repeat(rank, counts)]]
 
 
 def write_tokens(

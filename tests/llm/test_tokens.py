@@ -1,6 +1,7 @@
 """Token files: codes, round trips, and the tokenizers library on whole texts."""
 
 import heapq
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -192,6 +193,34 @@ def test_words_of_the_library_keep_their_places(monkeypatch, cut):
         assert ids.tolist() == sum(expected, []) and counts.tolist() == list(map(len, expected))
 
 
+def test_ids_are_counted_in_all_rows(spark):
+    rows = [("a b a",), (None,), ("",), ("word another " * 3000,)] + [(f"a n{k}",) for k in range(40)]
+    df = spark.createDataFrame(rows, "text string").selectExpr("monotonically_increasing_id() as doc_id", "text")
+    tokenizer = Tokenizer.from_file(PATH)
+    expected = np.zeros(49408, int)
+    for (text,) in rows:
+        np.add.at(expected, [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], 1)
+    ids = tokens.tokenize(df.repartition(3), PATH, 1, 49408)
+    assert tokens.count_ids(ids, 49408).tolist() == expected.tolist()
+    assert not tokens.count_ids(ids.limit(0), 49408).any()
+
+
+def test_a_long_block_beside_short_ones():
+    """What decoding takes follows from the ids, not from the longest block times their number."""
+    docs = np.array([3, 0, 30_000, 1, *[2] * 400])
+    ids = np.arange(docs.sum()) * 7 % 50
+    lengths = tokens.code_lengths(np.bincount(ids, np.arange(len(ids)) + 1, 50).astype(np.int64))
+    codes, table = tokens.canonical_codes(lengths)
+    bounds, _ = tokens.block_bounds(docs, 10**6)
+    data, firsts = tokens.pack(ids, bounds, codes, lengths)
+    given = np.frombuffer(data, np.uint8), firsts[:-1], np.diff(bounds), table, lengths
+    tracemalloc.start()
+    got = tokens.unpack(*given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == ids.tolist() and peak < 6 << 20
+
+
 def test_missing_ids_come_first(spark):
     df = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     got = {r.doc_id: r.start for r in tokens.token_corpus(df, PATH).collect()}
